@@ -1 +1,117 @@
-"""Not written yet."""
+r"""Substring dedup by line and paragraph hashing.
+
+A text's units are its lines (paragraphs, at \n) and, within them, its sentences
+(after . ! ? and white space). A longer sentence is cut before words chosen by
+their own hash, so that a passage without full stops has the same units wherever
+it is spliced in. Units are normalised (A-Z lower-cased, white space joined),
+hashed and grouped over all documents; of each digest the earliest ranked
+occurrence stays."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import col, cut, fresh
+
+#: Fewer words are no passage: they repeat by chance.
+MIN_WORDS = 8
+#: A sentence of more words is cut, before about one word in ANCHOR.
+LONG_WORDS, ANCHOR = 24, 12
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
+UNITS = "doc_id long, begin long, end long, n_words long, line boolean, d1 long, d2 long"
+
+
+def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bool, bytes]]:
+    """(begin, end, words, is a line, digest) of the units of at least min_words
+    words, with offsets in code points. A line of one unit is listed as the line."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        if len(line) >= 2 * min_words - 1:
+            low = line.translate(_LOWER)
+            spans = [m.span() for m in _WORDS.finditer(low)]
+            if len(spans) >= min_words:
+                words = [low[a:b] for a, b in spans]
+                cuts, last = [], 0
+                for k, w in enumerate(words, 1):
+                    if w[-1] in ".!?" or k == len(words):
+                        if k - last > LONG_WORDS:
+                            cuts += [j for j in range(last + 1, k) if xxhash.xxh32_intdigest(words[j]) % ANCHOR == 0]
+                        cuts.append(k)
+                        last = k
+                done = 0
+                for k in cuts:
+                    if k - done >= min_words and k - done < len(words):
+                        out.append((at + spans[done][0], at + spans[k - 1][1], k - done, False, xxhash.xxh3_128_digest(" ".join(words[done:k]))))
+                    done = k
+                out.append((at + spans[0][0], at + spans[-1][1], len(words), True, xxhash.xxh3_128_digest(" ".join(words))))
+        at += len(line) + 1
+    return out
+
+
+def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """The units of all rows of docs, as UNITS says; the 128-bit digest is d1, d2."""
+
+    def run(batches):
+        names = [x.split()[0] for x in UNITS.split(", ")]
+        for b in batches:
+            ids, found, held = [], [], 0
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                some = units(text.as_py() or "", min_words)
+                found += some
+                ids += [doc] * len(some)
+                held += len(some)
+                if held > 50_000:
+                    yield batch(ids, found, names)
+                    ids, found, held = [], [], 0
+            yield batch(ids, found, names)
+
+    def batch(ids, found, names):
+        digests = np.frombuffer(b"".join(x[4] for x in found), "<i8").reshape(-1, 2)
+        columns = [pa.array([x[k] for x in found], pa.bool_() if k == 3 else pa.int64()) for k in range(4)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns, pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], names)
+
+    return docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text")).mapInArrow(run, UNITS)
+
+
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per unit to remove: doc_id, begin, end (code points of the original
+    text, end exclusive), n_words, line, first_doc_id and first_begin of the
+    occurrence that stays.
+
+    Occurrences rank by id, null last, then by offset. A digest's rows are never
+    gathered: its count and first occurrence are aggregated before the shuffle,
+    and only digests that repeat are joined back. Units inside a line that goes
+    are listed with it. Repeats inside one document go too. Rows that repeat whole
+    (same id and text) are one document. Null and empty texts have no units; other
+    columns are not read; no rows give none."""
+    all_units = cut(unit_table(docs, id_col, text_col, min_words).distinct())
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "begin")
+    heads = all_units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    heads = cut(heads.filter("n > 1").drop("n"))
+    x = all_units.join(heads, ["d1", "d2"]).filter(~rank.eqNullSafe(F.col("first")))
+    # A line of a single sentence is the same unit as that sentence elsewhere.
+    return x.select("doc_id", "begin", "end", "n_words", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.begin").alias("first_begin"))
+
+
+def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with the repeated units cut out of the text, and removed_spans: the
+    (begin, end) that went, by the original text. All rows and columns stay."""
+    spans = repeated_units(docs, id_col, text_col, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+    key, found = fresh(docs, "span_doc", "spans")
+    x = docs.join(spans.select(F.col("doc_id").alias(key), F.col("spans").alias(found)), col(docs, id_col).cast("long").eqNullSafe(F.col(key)), "left")
+    text, spans_ = col(docs, text_col), F.col(found)
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
+
+    def step(acc, s):
+        return F.struct(F.concat(acc.kept, F.substring(text, (acc.at + 1).cast("int"), F.greatest(s.begin - acc.at, F.lit(0)).cast("int"))).alias("kept"), F.greatest(acc.at, s.end).alias("at"))
+
+    left = F.aggregate(spans_, start, step, lambda acc: F.concat(acc.kept, F.substring(text, (acc.at + 1).cast("int"), F.length(text))))
+    removed, = fresh(docs, "removed_spans")
+    return x.select(*(F.when(spans_.isNull(), text).otherwise(left).alias(c) if c == text_col else col(docs, c) for c in docs.columns), spans_.alias(removed))

@@ -1 +1,271 @@
-"""Not written yet."""
+"""WARC: segmented records out, segment reassembly in.
+
+Records follow WARC/1.1. Payloads go as HTTP messages with chunked framing. A
+block longer than a segment is dealt over a record of its type with segment
+number 1 and continuation records that name its id as their origin; the last
+names the total length. Each archive is a file of gzip members, one a record."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import uuid
+import zlib
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import col, cut, shared_dir
+
+CRLF = b"\r\n"
+#: Bytes of a block before it is segmented, of a chunk, and of a packed archive.
+SEGMENT, CHUNK, ARCHIVE = 16_384, 4_096, 4 << 20
+DATE = "2024-01-01T00:00:00Z"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The most rows of repeated payloads that are broadcast; more are joined by shuffle.
+MAX_BROADCAST = 100_000
+
+
+def record_id(page_id: int | None, payload_digest: str) -> str:
+    """A URN of page and payload: reruns give it again, and rows that share one
+    are equal. Null pages are named null."""
+    return f"<urn:x-page:{'null' if page_id is None else page_id}:{payload_digest}>"
+
+
+def digest(payload: bytes) -> str:
+    """Bare upper-case base32 SHA-1."""
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def chunked(payload: bytes, size: int = CHUNK) -> bytes:
+    parts = [b"%x\r\n%s\r\n" % (len(p), p) for p in (payload[i : i + size] for i in range(0, len(payload), size))]
+    return b"".join([*parts, b"0\r\n\r\n"])
+
+
+def unchunked(body: bytes) -> bytes:
+    """The payload of a chunked body. Chunk extensions and trailers are allowed;
+    framing that is cut short or wrong is an error."""
+    out, at = [], 0
+    while True:
+        end = body.find(CRLF, at)
+        if end < 0:
+            raise ValueError("chunk size is cut short")
+        size = int(body[at:end].split(b";")[0].strip(), 16)
+        at = end + 2
+        if not size:
+            return b"".join(out)
+        if body[at + size : at + size + 2] != CRLF:
+            raise ValueError("chunk is cut short")
+        out.append(body[at : at + size])
+        at += size + 2
+
+
+def record(headers: dict[str, str | int], block: bytes) -> bytes:
+    """A record as one gzip member."""
+    head = "".join(f"{k}: {v}\r\n" for k, v in {**headers, "Content-Length": len(block)}.items())
+    squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return squeeze.compress(b"WARC/1.1\r\n" + head.encode() + CRLF + block + CRLF + CRLF) + squeeze.flush()
+
+
+def records(page_id: int | None, url: str | None, payload: bytes, head: int | None, segment: int = SEGMENT) -> list[bytes]:
+    """The records of a page: a response, in segments if it is long, or a revisit of
+    the page `head`, whose HTTP head tells the payload's length."""
+    name = digest(payload)
+    own, http = record_id(page_id, name), b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+    base = {"WARC-Type": "response", "WARC-Record-ID": own, "WARC-Date": DATE, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{name}"}
+    if url:
+        base["WARC-Target-URI"] = quote(url, safe="%:/?#[]@!$&'()*+,;=~")
+    if head is not None and head != page_id:
+        base |= {"WARC-Type": "revisit", "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(head, name)}
+        return [record(base, http + b"Content-Length: %d\r\n\r\n" % len(payload))]
+    block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
+    if len(block) <= segment:
+        return [record(base, block)]
+    out = [record(base | {"WARC-Segment-Number": 1}, block[:segment])]
+    for k, at in enumerate(range(segment, len(block), segment), 2):
+        more = {"WARC-Type": "continuation", "WARC-Record-ID": f"{own[:-1]}:{k}>", "WARC-Date": DATE, "WARC-Segment-Origin-ID": own, "WARC-Segment-Number": k}
+        if at + segment >= len(block):
+            more["WARC-Segment-Total-Length"] = len(block)
+        out.append(record(more, block[at : at + segment]))
+    return out
+
+
+def write_archives(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payload_col="html", segment=SEGMENT, archive=ARCHIVE) -> int:
+    """Writes a record for every row of pages into archives in folder, a URI that
+    driver and executors share; returns the number of archives.
+
+    Of rows with equal payloads that with the largest id is the response, the
+    others revisit it; a row with a null id revisits too if some id is known. Null
+    payloads are empty. Only the payloads that occur twice or more are joined to
+    the pages, by broadcast if they are few, so payloads are not shuffled. Each
+    task writes its archives under a name of its attempt and renames them at the
+    end: a task that runs again puts the same file in the same place. No rows
+    write nothing."""
+    x = pages.select(col(pages, id_col).cast("long").alias("id"), col(pages, url_col).alias("url"), F.encode(F.coalesce(col(pages, payload_col), F.lit("")), "UTF-8").alias("payload"))
+    key = F.sha1("payload").alias("key")
+    repeated = cut(x.select("id", key).groupBy("key").agg(F.max("id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    heads = F.broadcast(repeated) if repeated.count() <= MAX_BROADCAST else repeated
+    x = x.withColumn("key", key).join(heads, "key", "left").select("id", "url", "payload", "head")
+
+    def run(batches):
+        context = TaskContext.get()
+        files, root = pafs.FileSystem.from_uri(folder)
+        made, held, size = [], [], 0
+
+        def flush():
+            nonlocal held, size
+            if held:
+                name = f"{root}/part-{context.partitionId():06d}-{len(made):05d}.warc.gz"
+                part = f"{root}/_writing-{context.taskAttemptId()}-{len(made)}"
+                with files.open_output_stream(part, compression=None) as out:
+                    for r in held:
+                        out.write(r)
+                files.move(part, name)
+                made.append(name)
+                held, size = [], 0
+
+        for b in batches:
+            for row in zip(*(b.column(k) for k in range(4))):
+                for r in records(*(v.as_py() for v in row), segment):
+                    held.append(r)
+                    size += len(r)
+                    if size >= archive:
+                        flush()
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array([len(made)], pa.int64())], ["n"])
+
+    files, root = pafs.FileSystem.from_uri(folder)
+    files.create_dir(root, recursive=True)
+    return x.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def parse(data: bytes):
+    """(headers with lower-case names, block) of each record of an archive of gzip
+    members. What is cut short is an error."""
+    while data:
+        member = zlib.decompressobj(31)
+        raw = member.decompress(data)
+        if not member.eof:
+            raise ValueError("archive is cut short")
+        data, at = member.unused_data, 0
+        while raw.startswith(b"WARC/", at):
+            end = raw.index(b"\r\n\r\n", at)
+            lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            n = int(headers["content-length"])
+            if end + 4 + n > len(raw):
+                raise ValueError("record is cut short")
+            yield headers, raw[end + 4 : end + 4 + n]
+            at = end + 8 + n
+
+
+def payload_of(block: bytes) -> tuple[bytes, int | None]:
+    """The payload of an HTTP response, its framing decoded, and the length that
+    its head declares."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(b":") for x in head.split(CRLF)[1:])}
+    declared = int(fields[b"content-length"]) if b"content-length" in fields else None
+    return unchunked(body) if b"chunked" in fields.get(b"transfer-encoding", b"") else body, declared
+
+
+PARSED = "record_id string, record_type string, refers_to string, payload_digest string, payload_bytes long, verified boolean, payload binary, segment int, total long, block binary"
+
+
+def _kinds():
+    return [pa.string()] * 4 + [pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.binary()]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in PARSED.split(", ")]
+    columns = zip(*rows) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _kinds())], names)
+
+
+def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
+    """One row for each response and revisit in folder's *.warc.gz: record_id,
+    record_type, refers_to, payload_digest, payload_bytes, verified, payload.
+
+    Segments are grouped by their origin and put in order of number; numbers that
+    are missing, a total length that differs, broken framing or another digest
+    than declared give verified = false, and no payload. A revisit's digest and
+    length are as its record declares them. Records of other types are passed
+    over. Records that share an id are copies and give a row each. A record's
+    segments meet in one task, and those alone; no archive is held by more than
+    the task that reads it."""
+
+    def decoded(name, kind, refers, declared, block):
+        try:
+            payload, length = payload_of(block)
+        except ValueError:
+            return name, kind, refers, declared, None, False, None, None, None, None
+        if kind == "revisit":
+            return name, kind, refers, declared, length, True, None, None, None, None
+        found = digest(payload)
+        good = declared in (None, found)
+        return name, kind, refers, found, len(payload), good, payload if with_payload and good else None, None, None, None
+
+    def run(batches):
+        for b in batches:
+            for content in b.column(0):
+                rows, size = [], 0
+                for h, block in parse(content.as_py()):
+                    kind, number = h.get("warc-type"), h.get("warc-segment-number")
+                    declared = h.get("warc-payload-digest", "").rpartition(":")[2] or None
+                    if kind in ("response", "revisit") and number is None:
+                        rows.append(decoded(h["warc-record-id"], kind, h.get("warc-refers-to"), declared, block))
+                    elif kind in ("response", "continuation"):
+                        total = h.get("warc-segment-total-length")
+                        rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), kind, None, declared, None, None, None, int(number or 0), total and int(total), block))
+                        size += len(block)
+                    size += len(rows[-1][6] or b"") if rows else 0
+                    if size > 1 << 23:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                yield _batch(rows)
+
+    def join(batches):
+        for b in batches:
+            rows, size = [], 0
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                copies = max(1, r["copies"])
+                if not r["cut"]:
+                    row = r["record_id"], r["record_type"], r["refers_to"], r["declared"], r["payload_bytes"], r["verified"], r["payload"], None, None, None
+                else:
+                    blocks = {p["segment"]: p["block"] for p in r["parts"]}
+                    totals = {p["total"] for p in r["parts"]} - {None}
+                    block = b"".join(v for _, v in sorted(blocks.items()))
+                    whole = sorted(blocks) == [*range(1, len(blocks) + 1)] and totals == {len(block)} and len(r["parts"]) == copies * len(blocks)
+                    row = decoded(r["record_id"], "response", None, r["declared"], block) if whole else (r["record_id"], "response", None, r["declared"], None, False, *[None] * 4)
+                rows += [row] * copies
+                size += len(row[6] or b"") * copies + 500
+                if size > 1 << 23:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            yield _batch(rows)
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(run, PARSED)
+    part = F.struct("segment", "total", "block")
+    by_id = found.groupBy("record_id", F.col("segment").isNotNull().alias("cut")).agg(
+        F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"), F.max("payload_digest").alias("declared"), F.first("payload_bytes").alias("payload_bytes"), F.min("verified").alias("verified"),
+        F.first("payload").alias("payload"), F.sort_array(F.collect_list(F.when(F.col("segment").isNotNull(), part))).alias("parts"), F.sum(F.when(F.coalesce("segment", F.lit(1)) == 1, 1).otherwise(0)).alias("copies"),
+    )
+    by_id = by_id.withColumn("copies", F.col("copies").cast("int"))
+    return by_id.mapInArrow(join, PARSED).drop("segment", "total", "block")
+
+
+def reread(pages: DataFrame, folder: str | None = None, **how) -> DataFrame:
+    """Pages through archives and back: page_id, payload_bytes, payload_digest,
+    record_type, refers_to (the response's page_id), verified."""
+    folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    write_archives(pages, folder, **how)
+    x = read_archives(pages.sparkSession, folder, with_payload=False)
+    return x.select(_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page("refers_to").alias("refers_to"), "verified")
+
+
+def _page(name: str):
+    return F.regexp_extract(name, "^<urn:x-page:(-?[0-9]+|null):", 1).try_cast("long")
