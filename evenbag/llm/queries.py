@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, linededup, mixing, packing, pii, pivots, repetition, simhash, toxicity, warc
 from .common import documents
+from .oracle import ORACLE_SQL
 
 
 def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +59,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_warc_segments, op2_mix_quota, op3_feistel_pii, op4_cost_packing, op5_line_dedup, op6_repetition, op7_chat_format, op8_pivot_dedup, op9_toxicity, op10_simhash)
 }
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
