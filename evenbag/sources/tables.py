@@ -32,6 +32,7 @@ POOLS = {
     "boolean": [True, False, None],
     "double": [0.0, 1.5, -1.5, 1000.125, None],
     "bigint": [0, 1, 2, -1, -7, 42, None],
+    "decimal(38,0)": [Decimal("0"), Decimal("1"), Decimal("-1"), Decimal("99999999999999999999"), None],
     "decimal(10,2)": [Decimal("0"), Decimal("12.34"), Decimal("-5.50"), Decimal("999.99"), None],
     "date": [dt.date(2024, 1, 15), dt.date(1999, 12, 31), dt.date(2030, 6, 1), None],
     "timestamp_ntz": [dt.datetime(2024, 1, 15, 12, 34, 56), dt.datetime(1999, 12, 31, 23, 59, 59), None],
