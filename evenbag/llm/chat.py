@@ -66,16 +66,16 @@ def format_conversations(turns: DataFrame, t: Template = TEMPLATE, conv_col="con
     one = lambda m: F.array(
         piece(F.concat(F.lit(t.open), escape(m.role, t), F.lit(t.role_end)), F.lit(False)), piece(escape(m.text, t), bears(m.role)), piece(F.lit(t.close), F.lit(False)))
     moves = F.create_map(*(F.lit(v) for s, roles in t.follows.items() for r in roles for v in (f"{s}>{r}", r)))
-    # State after each turn; null is the error from which nothing leads on.
+    # State after each turn; nothing leads on from "error".
     start = F.struct(F.lit("start").alias("state"), F.lit(0).alias("right"))
 
     def step(acc, m):
-        to = F.try_element_at(moves, F.concat(acc.state, F.lit(">"), m.role))
-        return F.struct(to.alias("state"), (acc.right + F.when(to.isNotNull(), 1).otherwise(0)).alias("right"))
+        to = F.coalesce(F.try_element_at(moves, F.concat(acc.state, F.lit(">"), m.role)), F.lit("\x00error"))
+        return F.struct(to.alias("state"), (acc.right + F.when(to == "\x00error", 0).otherwise(1)).alias("right"))
 
     end = F.aggregate("turns", start, step)
     x = x.select("conv_id", F.flatten(F.transform("turns", one)).alias("segments"), end.alias("end"))
-    valid = F.coalesce(F.col("end.state").isin(*t.accepts), F.lit(False))
+    valid = F.col("end.state").isin(*t.accepts)
     return x.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s.text), "").alias("formatted"), valid.alias("valid"), F.when(~valid, F.col("end.right").cast("long")).alias("error_turn"))
 
 

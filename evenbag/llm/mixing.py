@@ -25,18 +25,28 @@ def highest_quotients(kids: DataFrame, parent: list[str], order: list[str]) -> D
     same for all its kids) with `quota` long: the seats by Sainte-Lague, highest
     weight / (2k - 1) first, ties by order; a kid stops at its cap.
 
-    Below a divisor that cannot give more than all seats, seats need no ranking;
-    above one that cannot give fewer, none can be won. So only those between are
-    ranked: about two for each kid."""
+    At a level L, kids have min(cap, round(weight * L)) seats. At the level where
+    min(cap, weight * L) sums up to half a seat per kid less than all seats, none
+    of these can be one too many; at half a seat more, none beyond can be won. So
+    only those between are ranked: about two for each kid."""
     group = Window.partitionBy(*parent)
-    w, n, seats = F.sum("weight").over(group), F.count("*").over(group), F.least("seats", F.sum("cap").over(group))
-    won = lambda total: F.floor(F.col("weight") / F.col("w") * total + F.lit(0.5)).cast("long")
-    x = kids.select(*parent, *order, "weight", "cap", seats.alias("seats"), w.alias("w"), n.alias("n"))
-    sure = F.when((F.col("w") > 0) & (F.col("seats") > F.col("n")), won(F.col("seats") - F.col("n") / 2.0) - 1).otherwise(0)
-    # One spare seat on either side keeps rounding of doubles out of it.
-    x = x.withColumn("sure", F.least("cap", F.greatest(sure, F.lit(0))))
-    most = F.when(F.col("w") > 0, won(F.col("seats") + F.col("n") / 2.0) + 2).otherwise(0)
-    x = x.withColumn("most", F.least("cap", F.greatest(most, F.col("sure"))))
+    seats = F.least("seats", F.sum("cap").over(group))
+    x = kids.select(*parent, *order, "weight", "cap", seats.alias("seats"), F.count("*").over(group).alias("n"))
+    x = x.withColumn("full_at", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")))
+    rising = group.orderBy(F.col("full_at").asc_nulls_last(), *order)
+    x = x.withColumn("capped", F.coalesce(F.sum("cap").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("open_weight", F.sum("weight").over(rising.rowsBetween(0, Window.unboundedFollowing)))
+
+    def level(total):
+        here = F.when(F.col("full_at").isNotNull(), F.greatest((total - F.col("capped")) / F.col("open_weight"), F.lit(0.0)))
+        return F.max(F.when(here <= F.col("full_at"), here)).over(group)
+
+    x = x.withColumns({"low": level(F.col("seats") - F.col("n") / 2.0), "high": level(F.col("seats") + F.col("n") / 2.0)})
+    # No level means that all kids are full. A spare seat on either side keeps the
+    # rounding of doubles out of it.
+    won = lambda at, spare: F.when(F.col("weight") > 0, F.when(F.col(at).isNull(), F.col("cap")).otherwise(F.floor(F.col("weight") * F.col(at) + 0.5) + spare)).otherwise(0)
+    x = x.withColumn("sure", F.least("cap", F.greatest(won("low", -1), F.lit(0))).cast("long"))
+    x = x.withColumn("most", F.least("cap", F.greatest(won("high", 1), F.col("sure"))).cast("long"))
     x = x.withColumn("open", F.col("seats") - F.sum("sure").over(group))
     each = x.select("*", F.explode(F.sequence("sure", "most")).alias("k"))
     quotient = F.when(F.col("k") > F.col("sure"), F.col("weight") / (2 * F.col("k") - 1))
@@ -150,7 +160,7 @@ def selected(k: Column, at: str) -> Column:
     """1 if the shard's block k is among those taken once more, else 0: of n blocks
     the r where k * r + turn steps over a multiple of n."""
     n, r, turn = F.col(f"{at}.blocks"), F.col(f"{at}.extra"), F.col(f"{at}.turn")
-    return F.expr("1") * (F.floor(((k + 1) * r + turn) / n) - F.floor((k * r + turn) / n))
+    return (F.floor(((k + 1) * r + turn) / n) - F.floor((k * r + turn) / n))
 
 
 def chosen_before(p: Column, at: str, block: int) -> Column:
