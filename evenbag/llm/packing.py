@@ -24,7 +24,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Tokens that a task gathers before it packs them.
 GROUP_TOKENS = 1 << 20
 #: Words whose ids a worker remembers.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
@@ -106,7 +106,7 @@ class WordIds:
         return np.split(ids, last[:-1])
 
 
-def _lots(texts: pa.Array, most: int = 1 << 24):
+def _lots(texts: pa.Array, most: int = 1 << 22):
     """Slices of texts of at most about `most` bytes, or of one longer text."""
     total = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
