@@ -22,7 +22,7 @@ from .common import col, fresh
 WINDOW, STEP = 16, 8
 HIDDEN, DIM, GRAMS, SLOTS, LONGEST = 8, 16, 1 << 16, 10, 24
 #: The most labelled documents of each class that are drawn to the driver.
-MAX_TOXIC, MAX_CLEAN = 2_000, 5_000
+MAX_TOXIC, MAX_CLEAN = 2_000, 4_000
 #: Longer texts are not drawn for training (they are scored like all others).
 MAX_TRAIN_CHARS = 20_000
 THRESHOLD = 0.3
@@ -58,7 +58,7 @@ def grams(words: list[bytes]) -> np.ndarray:
         put(4, last.T, 9, size[:, 0] >= 3)
         for k in range(SLOTS - 5):
             put(5 + k, [b[:, 1 + k + i] for i in range(4)], 17, size[:, 0] >= k + 5)
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def split(text: bytes | None) -> list[bytes]:
@@ -87,7 +87,11 @@ class Model:
         return known, table, count
 
     def vectors(self, known, table, count) -> np.ndarray:
-        return self.word[known] + self.gram[table].sum(axis=1) / count
+        out = np.empty((len(known), DIM), np.result_type(self.word, self.gram))
+        for at in range(0, len(known), 10_000):
+            some = slice(at, at + 10_000)
+            out[some] = self.word[known[some]] + self.gram[table[some]].sum(axis=1) / count[some]
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -174,9 +178,13 @@ def _windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.concatenate([*docs, np.zeros(1, np.int64)]) if docs else np.zeros(1, np.int64)
     if not len(owner):
         return np.zeros((0, WINDOW), np.int64), owner
-    at = np.concatenate(starts)[:, None] + np.arange(WINDOW)
-    inside = at < np.diff(base)[owner][:, None]
-    return np.where(inside, flat[np.where(inside, at + base[owner][:, None], 0)], 0), owner
+    at = np.concatenate(starts)
+    index = np.zeros((len(owner), WINDOW), np.int32)
+    size, first = np.diff(base)[owner], base[owner]
+    for k in range(WINDOW):
+        inside = at + k < size
+        index[inside, k] = flat[(at + k + first)[inside]]
+    return index, owner
 
 
 def _score_windows(m: Model, vectors: np.ndarray, index: np.ndarray, lot: int = 4096) -> np.ndarray:
@@ -203,7 +211,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model | No
         return None
     rng = np.random.default_rng(seed)
     number: dict[bytes, int] = {b"": 0}
-    docs = [np.array([number.setdefault(w, len(number)) for w in split(t)], np.int64) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in split(t)], np.int32) for t in texts]
     words = list(number)
     seen = np.zeros((len(words), 2))
     for d, label in zip(docs, labels):
@@ -329,9 +337,10 @@ def sample(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     share = F.when(F.col("label") == 1, min(1.0, most_toxic / max(1, n.get(1, 0)))).otherwise(min(1.0, most_clean / max(1, n.get(0, 0))))
     drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < share * 1_000_000
     text = docs.select(col(docs, id_col).cast("long").alias("id"), col(docs, text_col).alias("text")).filter(F.length("text") <= MAX_TRAIN_CHARS)
-    rows = text.join(F.broadcast(known.filter(drawn)), "id").select("id", "text", "label").toPandas()
-    rows = rows.drop_duplicates("id").sort_values("id")
-    return [t.encode() for t in rows["text"]], rows["label"].tolist()
+    rows = text.join(F.broadcast(known.filter(drawn)), "id").select("id", F.col("text").cast("binary").alias("text"), "label").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    first = np.flatnonzero(np.r_[True, np.diff(rows["id"].to_numpy()) != 0]) if rows.num_rows else []
+    rows = rows.take(pa.array(first, pa.int64()))
+    return rows["text"].to_pylist(), rows["label"].to_pylist()
 
 
 def held_out(id_):
@@ -357,7 +366,7 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
             for t in b.column(text_at).cast(pa.binary()):
                 lot.append(t.as_py())
                 size += len(lot[-1] or b"")
-                if size > 1 << 21:
+                if size > 1 << 20:
                     out.append(scores(m, lot))
                     lot, size = [], 0
             out.append(scores(m, lot))
