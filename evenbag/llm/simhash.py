@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            found = [fingerprint(t, width, seed) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            found = [fingerprint(t.as_py(), width, seed) for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
 
     return docs.select(col(docs, id_col).cast("long").alias("id"), col(docs, text_col).alias("text")).mapInArrow(run, "id long, fp long")
