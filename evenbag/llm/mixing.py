@@ -182,8 +182,10 @@ def mixed_texts(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     block_of = lambda i: F.floor((F.col("__mix.first") + i) / block)
     some = F.array_join(F.filter(pieces, lambda _, i: selected(block_of(i), "__mix") == 1), "")
     part = F.when((F.col("__mix.extra") > 0) & (F.col("__mix.size") > 0), F.ltrim(some))
-    copies = F.concat(F.array_repeat(text, F.col("__mix.passes").cast("int")), F.when(F.length(part) > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    kept = F.when(F.col("__mix.size") > 0, copies).otherwise(F.when(F.col("__mix.blocks") == 0, F.array(text)).otherwise(F.array().cast("array<string>")))
-    new, = fresh(docs, "mixed_text")
+    last, new = fresh(docs, "last_pass", "mixed_text")
+    rows = rows.withColumn(last, part)
+    none = F.array().cast("array<string>")
+    copies = F.concat(F.array_repeat(text, F.col("__mix.passes").cast("int")), F.when(F.length(F.col(last)) > 0, F.array(F.col(last))).otherwise(none))
+    kept = F.when(F.col("__mix.size") > 0, copies).otherwise(F.when(F.col("__mix.blocks") == 0, F.array(text)).otherwise(none))
     rows = rows.withColumn(new, F.explode(kept))
     return rows.select(*(F.col(new).alias(c) if c == text_col else col(docs, c) for c in docs.columns))
