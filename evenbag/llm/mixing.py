@@ -18,6 +18,8 @@ MOST = 2
 BLOCK = 32
 SHARD = 50_000
 SEED = 17
+#: The most sources that are broadcast; more are joined by shuffle.
+MAX_BROADCAST = 100_000
 
 
 def highest_quotients(kids: DataFrame, parent: list[str], order: list[str]) -> DataFrame:
@@ -123,7 +125,11 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     shards_of = F.greatest(F.ceil(F.col("total") / shard), F.lit(1)).cast("long")
     sources = cut(sources.withColumn("shards", shards_of))
     index = lambda h, n: F.pmod(F.shiftrightunsigned(h, 20), n)
-    dealt = slim.join(sources.select(*group, "shards"), group)
+    # The sources are broadcast if they are few: a join on them would send a large
+    # source's documents to one task, as the steps that follow keep its dealing.
+    few = sources.count() <= MAX_BROADCAST
+    to_all = lambda x: F.broadcast(x) if few else x
+    dealt = slim.join(to_all(sources.select(*group, "shards")), group)
     sizes = dealt.groupBy(*group, index(F.col("hash"), F.col("shards")).alias("index")).agg(F.sum("size").alias("whole"))
     sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("whole") / block).cast("long")))
 
@@ -140,7 +146,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
     facts = sources.select(F.col("missing").alias(missing), F.col("name").alias(name), "shards", F.col("total").alias(total), F.col("target").alias(goal))
     rows = base if keep_all else slim.select(F.col("id").alias(id_col), F.col("missing").alias(missing), F.col("name").alias(name), F.col("size").alias(size), F.col("hash").alias(hashed))
-    rows = rows.join(facts, [missing, name]).withColumn(shard_, index(F.col(hashed), F.col("shards"))).drop("shards")
+    rows = rows.join(to_all(facts), [missing, name]).withColumn(shard_, index(F.col(hashed), F.col("shards"))).drop("shards")
     rows = rows.join(quotas, [missing, name, shard_])
     before = Window.partitionBy(missing, name, shard_).orderBy(hashed, id_col, size).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(start, F.coalesce(F.sum(size).over(before), F.lit(0)))
