@@ -91,13 +91,13 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are listed with it. Repeats inside one document go too. Rows that repeat whole
     (same id and text) are one document. Null and empty texts have no units; other
     columns are not read; no rows give none."""
-    all_units = cut(unit_table(docs, id_col, text_col, min_words).distinct())
+    all_units = cut(unit_table(docs, id_col, text_col, min_words))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "begin")
     heads = all_units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     heads = cut(heads.filter("n > 1").drop("n"))
     x = all_units.join(heads, ["d1", "d2"]).filter(~rank.eqNullSafe(F.col("first")))
-    # A line of a single sentence is the same unit as that sentence elsewhere.
-    return x.select("doc_id", "begin", "end", "n_words", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.begin").alias("first_begin"))
+    # Rows that repeat whole are made one here, where few are left.
+    return x.select("doc_id", "begin", "end", "n_words", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.begin").alias("first_begin")).distinct()
 
 
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
