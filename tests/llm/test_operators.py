@@ -452,6 +452,26 @@ def test_pivot_recall(spark):
     assert found <= want and len(found) >= 0.9 * len(want), len(found)
 
 
+@pytest.mark.parametrize("block", [7, pivots.BLOCK])
+def test_pivots_too_few_for_an_index(spark, monkeypatch, block):
+    """Two vectors, one tight group, near copies, a large common component."""
+    monkeypatch.setattr(pivots, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    common = rng.standard_normal(24)
+    common /= np.linalg.norm(common)
+    rows = [(0, [1.0, 0.0], "a"), (1, [0.95, np.sqrt(1 - 0.95**2).item()], "a")]
+    rows += [(10 + k, (common[:8] + rng.standard_normal(8) * 0.02).tolist(), "a") for k in range(30)]
+    rows += [(100 + k, (rng.standard_normal(16) * 1e-4 + 1).tolist(), "ab"[k % 2]) for k in range(30)]
+    rows += [(200 + k, (common + rng.standard_normal(24) * 0.07).tolist(), "ab"[k % 2]) for k in range(80)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    classes, links = pivots.near_links(frame)
+    assert {len(p) < pivots.MIN_PIVOTS for p in pivots.choose_pivots(classes, None, pivots.SEED).values()} == {True}
+    want = Counter((min(e), max(e)) for e in brute_links(rows))
+    # Of the last group some pairs are near, most are not.
+    assert (0, 1) in want and 0 < sum(u >= 200 for u, _ in want) < 1000
+    assert Counter(map(tuple, links.collect())) == want
+
+
 # 9: toxicity
 
 
