@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import col, cut, fresh
 from .components import components
@@ -115,13 +116,30 @@ def labelled(prints: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
-    """docs with one row of each component: that of its smallest id. Of rows that
-    repeat this id one stays, the same for each run if they are equal. A
-    component of null ids only keeps one row."""
+    """docs with one row of each component: that of its smallest id (null is the
+    largest) and, of that id's fingerprints, the smallest. Of rows that repeat both
+    the one stays whose text has the smallest hash. Only rows whose id is null or
+    repeats are fingerprinted again, as their ids do not tell them apart."""
     prints = cut(fingerprints(docs, id_col, text_col))
-    named = labelled(prints, bits)
-    here, = fresh(docs, "first_id")
-    first = cut(named.select(F.col("component_id").alias(here)).distinct())
-    left = docs.join(first, col(docs, id_col).cast("long").eqNullSafe(F.col(here)), "left_semi")
-    repeated = prints.groupBy("id").count().filter("count > 1").limit(1).count()
-    return left.dropDuplicates([id_col]) if repeated else left
+    others = components(link(prints, bits)).filter("node.fp <> component.fp").select("node.fp")
+    here, own_fp, fp, row = fresh(docs, "first_id", "first_fp", "fp", "row")
+    first = prints.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("id")).join(others, "fp", "left_anti")
+    first = cut(first.select(F.col("id").alias(here), F.col("fp").alias(own_fp)))
+    unclear = cut(prints.groupBy(F.col("id").alias(here)).count().filter((F.col("count") > 1) | F.coalesce(here, F.lit(_LAST)).eqNullSafe(_LAST)).select(here))
+    own = col(docs, id_col).cast("long")
+    if not unclear.limit(1).count():
+        return docs.join(first, own == F.col(here), "left_semi")
+    clear = docs.join(unclear, own.eqNullSafe(F.col(here)), "left_anti").join(first, own == F.col(here), "left_semi")
+    same = F.coalesce(own, F.lit(_LAST)) == F.col(here)
+    some = docs.join(unclear, own.eqNullSafe(F.col(here)), "left_semi").join(first, same, "left_semi")
+    at, names = docs.columns.index(text_col), [*docs.columns, fp]
+
+    def run(batches):
+        for b in batches:
+            found = [fingerprint(t.as_py()) for t in b.column(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names)
+
+    some = some.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    some = some.join(first, same & (F.col(fp) == F.col(own_fp)))
+    some = some.groupBy(here, own_fp).agg(F.min_by(F.struct(*(col(docs, c) for c in docs.columns)), F.xxhash64(col(docs, text_col))).alias(row))
+    return clear.union(some.select(f"{row}.*"))

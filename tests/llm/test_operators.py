@@ -585,3 +585,13 @@ def test_keep_one_of_each_group(spark, awkward):
     assert simhash.keep_one(awkward).columns == awkward.columns
 
 
+
+
+def test_keep_one_where_ids_do_not_tell_rows_apart(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(200)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (None, ""), (7, c), (7, d), (3, e), (5, e), (5, "quite another text"), (9, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit(1), "first_id": F.lit(2)})
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    want = [(9, a), (None, b), (None, ""), (7, c), (7, d), (3, e), (5, "quite another text")]
+    assert Counter(map(tuple, kept.select("doc_id", "text").collect())) == Counter(want)
