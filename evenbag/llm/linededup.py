@@ -1,11 +1,12 @@
 r"""Substring dedup by line and paragraph hashing.
 
-A text's units are its lines (paragraphs, at \n) and, within them, its sentences
-(after . ! ? and white space). A longer sentence is cut before words chosen by
-their own hash, so that a passage without full stops has the same units wherever
-it is spliced in. Units are normalised (A-Z lower-cased, white space joined),
-hashed and grouped over all documents; of each digest the earliest ranked
-occurrence stays."""
+A text's units are its lines (paragraphs, at \n), the short ones too, and, within
+them, its sentences (after . ! ? and white space) of 8 words and more, and runs: of
+each WINDOW successive runs of RUN words the one of the smallest hash, so that any
+passage of RUN + WINDOW - 1 words has a unit of its own wherever it is spliced in.
+Of words without end (scripts without spaces, base64) runs of characters are taken
+alike. Units are normalised (A-Z lower-cased, white space joined), hashed and grouped
+over all documents; of each digest the earliest ranked occurrence stays."""
 
 from __future__ import annotations
 
@@ -19,8 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, fresh
 
-#: Fewer words are no passage: they repeat by chance.
+#: Sentences and runs of fewer words are no passage: they repeat by chance.
 MIN_WORDS = 8
+#: Words of a run, and runs of which one at least is a unit.
+RUN, WINDOW = 12, 24
+#: The same in characters, for words of more than LONG_WORD characters.
+CHAR_RUN, CHAR_WINDOW, LONG_WORD = 24, 27, 49
+_ODD = np.random.default_rng(5).integers(0, 1 << 62, CHAR_RUN, np.uint64) * np.uint64(2) + np.uint64(1)
+_WORDS = 8
 #: A sentence of more words is cut, before about one word in ANCHOR.
 LONG_WORDS, ANCHOR = 24, 12
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -28,29 +35,53 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 UNITS = "doc_id long, begin long, end long, n_words long, line boolean, d1 long, d2 long"
 
 
+def runs(hashes: np.ndarray, size: int, window: int) -> np.ndarray:
+    """Begins of the runs of `size` items that are the smallest of some `window`
+    successive runs. All ties are taken: which run is a unit is seen from window
+    runs to either side only."""
+    n = len(hashes) - size + 1
+    if n < window:
+        return np.zeros(0, np.int64)
+    found = np.zeros(n, np.uint64)
+    for k in range(size):
+        found += hashes[k : k + n] * _ODD[k % len(_ODD)]
+    found ^= found >> np.uint64(31)
+    least = np.lib.stride_tricks.sliding_window_view(found, window).min(axis=1)
+    ends = np.zeros(window - 1, np.uint64)
+    most = np.lib.stride_tricks.sliding_window_view(np.concatenate([ends, least, ends]), window).max(axis=1)
+    return np.flatnonzero(most == found)
+
+
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bool, bytes]]:
-    """(begin, end, words, is a line, digest) of the units of at least min_words
-    words, with offsets in code points. A line of one unit is listed as the line."""
+    """(begin, end, words, is a line, digest) of the units, with offsets in code
+    points: every line with a word, sentences and runs of at least min_words words,
+    runs of characters as parts of one word. A line of one unit is listed as the line."""
     out, at = [], 0
+    size = max(RUN, min_words)
     for line in text.split("\n"):
-        if len(line) >= 2 * min_words - 1:
-            low = line.translate(_LOWER)
-            spans = [m.span() for m in _WORDS.finditer(low)]
-            if len(spans) >= min_words:
-                words = [low[a:b] for a, b in spans]
-                cuts, last = [], 0
+        low = line.translate(_LOWER)
+        spans = [m.span() for m in _WORDS.finditer(low)]
+        if spans:
+            words = [low[a:b] for a, b in spans]
+            parts, done = set(), 0
+            if len(words) > min_words:
                 for k, w in enumerate(words, 1):
                     if w[-1] in ".!?" or k == len(words):
-                        if k - last > LONG_WORDS:
-                            cuts += [j for j in range(last + 1, k) if xxhash.xxh32_intdigest(words[j]) % ANCHOR == 0]
-                        cuts.append(k)
-                        last = k
-                done = 0
-                for k in cuts:
-                    if k - done >= min_words and k - done < len(words):
-                        out.append((at + spans[done][0], at + spans[k - 1][1], k - done, False, xxhash.xxh3_128_digest(" ".join(words[done:k]))))
-                    done = k
-                out.append((at + spans[0][0], at + spans[-1][1], len(words), True, xxhash.xxh3_128_digest(" ".join(words))))
+                        if k - done >= min_words:
+                            parts.add((done, k))
+                        done = k
+            if len(words) >= size + WINDOW - 1:
+                hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+                parts |= {(k, k + size) for k in runs(hashes, size, WINDOW).tolist()}
+            parts.discard((0, len(words)))
+            out += [(at + spans[j][0], at + spans[k - 1][1], k - j, False, xxhash.xxh3_128_digest(" ".join(words[j:k]))) for j, k in sorted(parts)]
+            if len(low) > LONG_WORD:
+                for (a, _), w in zip(spans, words):
+                    if len(w) > LONG_WORD:
+                        codes = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) * _ODD[0]
+                        codes ^= codes >> np.uint64(29)
+                        out += [(at + a + k, at + a + k + CHAR_RUN, 1, False, xxhash.xxh3_128_digest(w[k : k + CHAR_RUN])) for k in runs(codes * _ODD[1], CHAR_RUN, CHAR_WINDOW).tolist()]
+            out.append((at + spans[0][0], at + spans[-1][1], len(words), True, xxhash.xxh3_128_digest(" ".join(words))))
         at += len(line) + 1
     return out
 

@@ -322,6 +322,23 @@ def test_passages_are_found_wherever_they_stand(spark):
         assert b.lower().startswith(a.lower())
 
 
+def test_short_lines_and_any_passage_have_units():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    short = lambda n: " ".join(word() + ("." if k % 5 == 4 else "") for k in range(n))
+    chars = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    digests = lambda text: {x[-1] for x in linededup.units(text)}
+    assert digests("All rights reserved.\nA b.") & digests("x\nall  rights reserved.") and not linededup.units(" \n\t\n")
+    for make, n, space in ((plain, 35, " "), (short, 35, " "), (chars, 50, "")):
+        for _ in range(300):
+            p = make(n)
+            a, b = (space.join([make(rng.randint(20, 90)), p, make(rng.randint(20, 90))]) for _ in range(2))
+            assert digests(a) & digests(b)
+            for begin, end, _, _, digest in linededup.units(a):
+                assert digest == xxhash.xxh3_128_digest(a[begin:end].lower())
+
+
 def test_line_dedup_against_brute_force(spark, docs):
     seen, want = {}, []
     for doc, text in sorted(tuple(r) for r in docs.select("doc_id", "text").collect()):
