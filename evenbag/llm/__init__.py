@@ -1,25 +1,13 @@
 """Operators of a training-data pipeline on Spark.
 
-Nothing else in the library imports this subpackage. Functions that run in
-Python workers are pickled by value, so executors need no copy of the package.
+Nothing else in the library imports this subpackage. Whatever of it runs in Python
+workers is pickled by value, so executors need no copy of the package.
 """
 
-from pyspark import cloudpickle
+import importlib
+import pkgutil
 
-from . import (
-    chat,
-    common,
-    components,
-    linededup,
-    mixing,
-    packing,
-    pii,
-    pivots,
-    repetition,
-    simhash,
-    toxicity,
-    warc,
-)
+from pyspark import cloudpickle
 
-for _module in (common, packing, pivots, repetition, simhash, toxicity, warc):
-    cloudpickle.register_pickle_by_value(_module)
+for _found in pkgutil.iter_modules(__path__):
+    cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_found.name}"))
