@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling.
 
 A word's input is the sum of its own vector, if training knew it, and the sum of
-the vectors of its character n-grams over the root of their number. Overlapping windows of words run through a
+the vectors of all its character n-grams over the root of their number. Overlapping windows of words run through a
 gated recurrent unit in either direction; attention pools their states to one
 logit. A document's score is calibrated from its highest window. Training is numpy
 on the driver, on a bounded sample; scoring is numpy in the tasks, over all
@@ -9,7 +9,7 @@ windows of whole texts."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,9 @@ from .common import col, fresh
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STEP = 16, 8
-HIDDEN, DIM, GRAMS, SLOTS, LONGEST = 8, 16, 1 << 16, 10, 24
+HIDDEN, DIM, GRAMS = 8, 16, 1 << 16
+#: Lengths of a word's n-grams, in bytes; longer words are cut into pieces.
+SIZES, PIECE, OVERLAP = (3, 4, 5), 24, 12
 #: The most labelled documents of each class that are drawn to the driver.
 MAX_TOXIC, MAX_CLEAN = 2_000, 4_000
 #: Longer texts are not drawn for training (they are scored like all others).
@@ -34,36 +36,64 @@ _STRIP = b".,;:!?\"'()[]{}<>*#-_"
 _EMPTY_LOGIT = -20.0
 
 
-def grams(words: list[bytes]) -> np.ndarray:
-    """SLOTS buckets of n-grams for each word, 0 for none: its first 3, 4, 5 and 6
-    bytes, its last 3, and fours from its second byte on. Of words longer than
-    LONGEST bytes only the first so many count here."""
-    raw = np.array(words, f"S{LONGEST}") if words else np.zeros(0, f"S{LONGEST}")
-    size = np.char.str_len(raw)[:, None]
-    b = raw.view(np.uint8).reshape(len(words), LONGEST).astype(np.uint64)
-    out = np.zeros((len(words), SLOTS), np.uint64)
-
-    def put(slot, columns, kind, valid):
-        h = np.full(len(words), kind, np.uint64)
-        for c in columns:
-            h = (h ^ c) * np.uint64(0x100000001B3)
-        h ^= h >> np.uint64(29)
-        out[:, slot] = np.where(valid, 1 + (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(GRAMS - 1), 0)
-
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, where each word's begin): one bucket for each n-gram of SIZES bytes
+    of the whole word, with a mark before and behind it. The empty word has one
+    n-gram, number 0, whose vector stays zero."""
+    flat = np.frombuffer(b"".join(b"<%s>" % w for w in words), np.uint8).astype(np.uint64)
+    ends = np.cumsum([len(w) + 2 for w in words]) if words else np.zeros(0, np.int64)
+    left = np.repeat(ends, [len(w) + 2 for w in words]) - np.arange(len(flat)) if words else ends
+    filled = np.array([len(w) > 0 for w in words], bool)
+    inside = np.repeat(filled, [len(w) + 2 for w in words]) if words else filled
+    owners, buckets = [np.flatnonzero(~filled)], [np.zeros(int((~filled).sum()), np.int32)]
+    word_at = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words]) if words else ends
     with np.errstate(over="ignore"):
-        for slot, n in enumerate((3, 4, 5, 6)):
-            put(slot, [b[:, i] for i in range(n)], n, size[:, 0] >= n)
-        at = np.clip(size - 3 + np.arange(3), 0, LONGEST - 1)
-        last = np.take_along_axis(b, at, 1)
-        put(4, last.T, 9, size[:, 0] >= 3)
-        for k in range(SLOTS - 5):
-            put(5 + k, [b[:, 1 + k + i] for i in range(4)], 17, size[:, 0] >= k + 5)
-    return out.astype(np.int32)
+        h = np.full(len(flat), 0xCBF29CE484222325, np.uint64)
+        for n in range(1, max(SIZES) + 1):
+            # The hash of the n bytes from each place on.
+            h = (h[: len(flat) - n + 1] ^ flat[n - 1 :]) * np.uint64(0x100000001B3)
+            if n in SIZES:
+                at = np.flatnonzero((left[: len(h)] >= n) & inside[: len(h)])
+                x = (h[at] ^ h[at] >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+                owners.append(word_at[at])
+                buckets.append((1 + x % np.uint64(GRAMS - 1)).astype(np.int32))
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(buckets)[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
 def split(text: bytes | None) -> list[bytes]:
-    """Words of a text, lower-cased (A-Z), without the punctuation around them."""
-    return [w.strip(_STRIP) for w in (text or b"").lower().split()]
+    """Words of a text, lower-cased (A-Z), without the punctuation around them. One
+    of more than PIECE bytes counts as so many overlapping pieces: each has its own
+    place in the windows, and what it holds does not drown in the rest."""
+    words = [w.strip(_STRIP) for w in (text or b"").lower().split()]
+    if all(len(w) <= PIECE for w in words):
+        return words
+    return [p for w in words for p in ([w] if len(w) <= PIECE else [w[k : k + PIECE] for k in range(0, len(w) - OVERLAP, PIECE - OVERLAP)])]
+
+
+@dataclass
+class Inputs:
+    """Words as numbers (0 if unknown) and n-grams: buckets in a row, and where each
+    word's begin; no word has none."""
+
+    known: np.ndarray
+    buckets: np.ndarray
+    begin: np.ndarray
+
+    @property
+    def count(self) -> np.ndarray:
+        return np.diff(self.begin, append=len(self.buckets))
+
+    @property
+    def root(self) -> np.ndarray:
+        return np.sqrt(self.count).astype(np.float32)[:, None]
+
+    def take(self, rows: np.ndarray) -> Inputs:
+        n = self.count[rows]
+        begin = np.cumsum(n) - n
+        flat = np.repeat(self.begin[rows] - begin, n) + np.arange(n.sum())
+        return Inputs(self.known[rows], self.buckets[flat], begin)
 
 
 @dataclass
@@ -77,20 +107,17 @@ class Model:
     bias: np.ndarray
     calibration: tuple[float, float, float] = (1.0, 0.0, 0.0)
 
-    def inputs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word: its number (0 if unknown), its n-grams (0: none), and how
-        many these are."""
-        known = np.array([self.vocab.get(w, 0) for w in words], np.int64)
+    def inputs(self, words: list[bytes]) -> Inputs:
+        """Of each word: its number (0 if unknown) and its n-grams."""
         known = np.array([self.vocab.get(w, 0) for w in words], np.int64)
-        table = grams(words)
-        count = np.sqrt(np.maximum((table > 0).sum(axis=1, keepdims=True), 1)).astype(np.float32)
-        return known, table, count
-
-    def vectors(self, known, table, count) -> np.ndarray:
-        out = np.empty((len(known), DIM), np.result_type(self.word, self.gram))
-        for at in range(0, len(known), 10_000):
-            some = slice(at, at + 10_000)
-            out[some] = self.word[known[some]] + self.gram[table[some]].sum(axis=1) / count[some]
+        return Inputs(known, *grams(words))
+
+    def vectors(self, x: Inputs) -> np.ndarray:
+        out = np.empty((len(x.known), DIM), np.result_type(self.word, self.gram))
+        for at in range(0, len(x.known), 10_000):
+            some = x.take(np.arange(at, min(at + 10_000, len(x.known))))
+            sums = np.add.reduceat(self.gram[some.buckets], some.begin, axis=0)
+            out[at : at + 10_000] = self.word[some.known] + sums / some.root
         return out
 
 
@@ -202,8 +229,8 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model | No
     """A model of documents and their labels, or None unless both labels occur.
 
     Only documents are labelled, not windows. So a toxic document teaches its most
-    suspicious window: at first that with the highest log odds of a word or word
-    beginning over the documents, then as the network itself says. A clean one
+    suspicious window: at first that with the highest log odds of a word or n-gram
+    over the documents, then as the network itself says. A clean one
     teaches that all its windows are clean: some at random, and its worst. A
     sixth of the documents is left out to calibrate scores."""
     y = np.array(labels, np.float32)
@@ -225,7 +252,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model | No
     # Vectors begin at nothing: what training never met stays without effect.
     gram = np.zeros((GRAMS, DIM), np.float32)
     m = Model(vocab, np.zeros((len(vocab) + 2, DIM), np.float32), gram, gates, weight(2 * HIDDEN), weight(2 * HIDDEN), np.zeros(1, np.float32))
-    known, table, count = m.inputs(words)
+    x = m.inputs(words)
     index, owner = _windows(docs)
     held = np.arange(len(docs)) % 6 == 5
     if y[held].min(initial=1) == y[held].max(initial=0) or y[~held].min(initial=1) == y[~held].max(initial=0):
@@ -236,7 +263,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model | No
         chosen = toxic[_top(guess[toxic], owner[toxic])]
         seen_clean = rng.choice(clean, min(len(clean), MINED), replace=False)
         if part:
-            guess[seen_clean] = _score_windows(m, m.vectors(known, table, count), index[seen_clean])
+            guess[seen_clean] = _score_windows(m, m.vectors(x), index[seen_clean])
         worst = seen_clean[np.argsort(-guess[seen_clean], kind="stable")[: 3 * len(chosen) + 200]]
         while steps < MIN_STEPS * (part + 1) // ROUNDS:
             some = rng.choice(clean, min(len(clean), 6 * len(chosen) + 2000), replace=False)
@@ -248,30 +275,26 @@ def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> Model | No
                 local, where = np.unique(index[pick[rows]], return_inverse=True)
                 if local[0] != 0:
                     local, where = np.concatenate([[0], local]), where + 1
-                args = known[local], table[local], count[local]
-                flat, by_word = _gradients(m, m.vectors(*args), where.reshape(-1, WINDOW), target[rows])
-                squares = _step(m, flat, by_word, args, squares)
+                some_words = x.take(local)
+                flat, by_word = _gradients(m, m.vectors(some_words), where.reshape(-1, WINDOW), target[rows])
+                squares = _step(m, flat, by_word, some_words, squares)
                 steps += 1
-        guess[toxic] = _score_windows(m, m.vectors(known, table, count), index[toxic])
+        guess[toxic] = _score_windows(m, m.vectors(x), index[toxic])
     used = held if held.any() else ~held
     rows = np.flatnonzero(used[owner])
-    best = _best(_score_windows(m, m.vectors(known, table, count), index[rows]), owner[rows], len(docs))
+    best = _best(_score_windows(m, m.vectors(x), index[rows]), owner[rows], len(docs))
     m.calibration = _calibrate(best[used], np.log1p([len(d) for d, k in zip(docs, used) if k]), y[used])
     return m
 
 
 def _log_odds(words: list[bytes], seen: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Of each word the higher log odds of itself and of its beginnings."""
+    """Of each word the highest log odds of itself and of its n-grams."""
     score = lambda s: np.log((s[..., 1] + 0.2) / (total[1] + 1)) - np.log((s[..., 0] + 0.2) / (total[0] + 1))
     out = score(seen)
-    for size in (4, 5, 6):
-        key: dict[bytes, int] = {}
-        of = np.array([key.setdefault(w[:size] if len(w) > size else b"", len(key)) for w in words])
-        sums = np.zeros((len(key), 2))
-        np.add.at(sums, of, seen)
-        if b"" in key:
-            sums[key[b""]] = (1e9, 0)
-        out = np.maximum(out, score(sums)[of])
+    buckets, begin = grams(words)
+    owner = np.repeat(np.arange(len(words)), np.diff(begin, append=len(buckets)))
+    sums = np.stack([np.bincount(buckets, seen[owner, k], GRAMS) for k in range(2)], axis=1)
+    out = np.maximum(out, np.maximum.reduceat(score(sums)[buckets], begin))
     out[0] = -1e9
     return out
 
@@ -282,16 +305,15 @@ def _top(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return order[np.r_[True, np.diff(owner[order]) > 0]] if len(order) else order
 
 
-def _step(m: Model, flat: list, by_word: np.ndarray, args, squares: list | None) -> list:
+def _step(m: Model, flat: list, by_word: np.ndarray, x: Inputs, squares: list | None) -> list:
     """One step of Adagrad."""
-    known, table, count = args
     dense = [p for g in m.gates for p in g] + [m.attend, m.out, m.bias]
     if squares is None:
         squares = [np.full(p.shape, 1e-3, np.float32) for p in [*dense, m.word, m.gram]]
     for p, g, s in zip(dense, flat, squares):
         s += g * g
         p -= RATE * g / np.sqrt(s)
-    for p, s, at, g in ((m.word, squares[-2], known, by_word), (m.gram, squares[-1], table.ravel(), np.repeat(by_word / count, SLOTS, axis=0))):
+    for p, s, at, g in ((m.word, squares[-2], x.known, by_word), (m.gram, squares[-1], x.buckets, np.repeat(by_word / x.root, x.count, axis=0))):
         rows, where = np.unique(at, return_inverse=True)
         d = _sums(g, where, len(rows))
         d[rows == 0] = 0
@@ -320,7 +342,7 @@ def scores(m: Model | None, texts: list[bytes | None]) -> np.ndarray:
         return np.zeros(len(texts))
     number: dict[bytes, int] = {b"": 0}
     docs = [np.array([number.setdefault(w, len(number)) for w in split(t)], np.int64) for t in texts]
-    vectors = m.vectors(*m.inputs(list(number))).astype(np.float32)
+    vectors = m.vectors(m.inputs(list(number))).astype(np.float32)
     index, owner = _windows(docs)
     best = _best(_score_windows(m, vectors, index), owner, len(docs))
     a, b, c = m.calibration
@@ -328,9 +350,8 @@ def scores(m: Model | None, texts: list[bytes | None]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", most_toxic: int = MAX_TOXIC, most_clean: int = MAX_CLEAN, seed: int = SEED) -> tuple[list[bytes], list[int]]:
-    """Texts and labels to train on: about most_toxic and most_clean
-    at most, drawn by a
-    seeded hash of the id; never those whose crc32 of the id is 2 mod 4."""
+    """Texts and labels to train on: about most_toxic and most_clean at most, drawn
+    by a seeded hash of the id; never those whose crc32 of the id is 2 mod 4."""
     known = labels.select(col(labels, id_col).cast("long").alias("id"), col(labels, label_col).cast("int").alias("label"))
     known = known.filter("id IS NOT NULL AND label IN (0, 1)").filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -356,11 +377,12 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
     repeats and nulls stay; no rows give none."""
     name, = fresh(docs, score_col)
     text_at = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Its fields only: an instance would be pickled by the name of its class.
+    shared = docs.sparkSession.sparkContext.broadcast(model and [getattr(model, f.name) for f in fields(model)])
     schema = docs.limit(0).withColumn(name, F.lit(0.0)).schema
 
     def run(batches):
-        m = shared.value
+        m = shared.value and Model(*shared.value)
         for b in batches:
             lot, size, out = [], 0, []
             for t in b.column(text_at).cast(pa.binary()):
