@@ -1,148 +1,218 @@
 r"""Substring dedup by line and paragraph hashing.
 
-A text's units are its lines (paragraphs, at \n), the short ones too, and, within
-them, its sentences (after . ! ? and white space) of 8 words and more, and runs: of
-each WINDOW successive runs of RUN words the one of the smallest hash, so that any
-passage of RUN + WINDOW - 1 words has a unit of its own wherever it is spliced in.
-Of words without end (scripts without spaces, base64) runs of characters are taken
-alike. Units are normalised (A-Z lower-cased, white space joined), hashed and grouped
-over all documents; of each digest the earliest ranked occurrence stays."""
+A text's units are its lines (paragraphs, at \n), of whatever length, and runs of RUN
+words, across lines: of each WINDOW successive runs the one of the smallest hash, so
+that any passage of RUN + WINDOW - 1 words has a unit of its own wherever it is
+spliced in and however its lines are broken. In words of more than LONG_WORD
+characters (scripts without spaces, base64) runs of characters are taken alike. Units
+are normalised (A-Z lower-cased, white space joined), hashed and grouped over all
+documents; of each digest the earliest ranked occurrence stays, the others are put
+together to the passages that go."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, cut, fresh
 
-#: Sentences and runs of fewer words are no passage: they repeat by chance.
-MIN_WORDS = 8
-#: Words of a run, and runs of which one at least is a unit.
-RUN, WINDOW = 12, 24
+#: Words of a run, and successive runs of which one at least is a unit.
+RUN, WINDOW = 20, 24
 #: The same in characters, for words of more than LONG_WORD characters.
 CHAR_RUN, CHAR_WINDOW, LONG_WORD = 24, 27, 49
-_ODD = np.random.default_rng(5).integers(0, 1 << 62, CHAR_RUN, np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS = 8
-#: A sentence of more words is cut, before about one word in ANCHOR.
-LONG_WORDS, ANCHOR = 24, 12
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
-UNITS = "doc_id long, begin long, end long, n_words long, line boolean, d1 long, d2 long"
-
-
-def runs(hashes: np.ndarray, size: int, window: int) -> np.ndarray:
-    """Begins of the runs of `size` items that are the smallest of some `window`
-    successive runs. All ties are taken: which run is a unit is seen from window
-    runs to either side only."""
-    n = len(hashes) - size + 1
-    if n < window:
+#: What op5 calls a passage: at least so many words. Shorter lines that repeat
+#: (headings, licence lines) are found too, and go with least=1.
+LEAST = 20
+#: Characters that stand for a word of a passage without spaces.
+CHARS_A_WORD = 2
+#: Bytes of texts that are cut into units at once (or one longer text).
+LOT = 1 << 20
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = np.where(_SPACE, 0, np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64))
+_FACTOR = 0x9E3779B97F4A7C15
+_NONE = np.uint64(2**64 - 1)
+UNITS = "doc_id long, text_key long, begin int, end int, word int, n_words int, d1 long, d2 long"
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    out = np.full(n, factor % (1 << 64), np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(29)) >> np.uint64(1)
+
+
+def _sliding(x: np.ndarray, size: int, pick) -> np.ndarray:
+    """The smallest (or largest) of each `size` successive items, by doubling."""
+    done = 1
+    while done < size:
+        step = min(done, size - done)
+        x = pick(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def runs(items: np.ndarray, group: np.ndarray, size: int, window: int) -> np.ndarray:
+    """Begins of the runs of `size` items (hashes) that are the smallest of some
+    `window` successive runs of their group, groups standing one after the other.
+    Ties are all taken, so what is a unit is seen from `window` runs to either side
+    only; but of runs that are equal one by one (a word over and over) the first."""
+    n, last = len(items) - size + 1, size + window - 2
+    if len(items) <= last:
         return np.zeros(0, np.int64)
-    found = np.zeros(n, np.uint64)
-    for k in range(size):
-        found += hashes[k : k + n] * _ODD[k % len(_ODD)]
-    found ^= found >> np.uint64(31)
-    least = np.lib.stride_tricks.sliding_window_view(found, window).min(axis=1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(items * _powers(_FACTOR, len(items)), dtype=np.uint64)])
+        found = _mixed((sums[size:] - sums[:-size]) * _powers(pow(_FACTOR, -1, 1 << 64), n))
+    found[group[size - 1 :] != group[:n]] = _NONE
+    least = _sliding(found, window, np.minimum)
+    least[group[last:] != group[: len(least)]] = 0
     ends = np.zeros(window - 1, np.uint64)
-    most = np.lib.stride_tricks.sliding_window_view(np.concatenate([ends, least, ends]), window).max(axis=1)
-    return np.flatnonzero(most == found)
-
-
-def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bool, bytes]]:
-    """(begin, end, words, is a line, digest) of the units, with offsets in code
-    points: every line with a word, sentences and runs of at least min_words words,
-    runs of characters as parts of one word. A line of one unit is listed as the line."""
-    out, at = [], 0
-    size = max(RUN, min_words)
-    for line in text.split("\n"):
-        low = line.translate(_LOWER)
-        spans = [m.span() for m in _WORDS.finditer(low)]
-        if spans:
-            words = [low[a:b] for a, b in spans]
-            parts, done = set(), 0
-            if len(words) > min_words:
-                for k, w in enumerate(words, 1):
-                    if w[-1] in ".!?" or k == len(words):
-                        if k - done >= min_words:
-                            parts.add((done, k))
-                        done = k
-            if len(words) >= size + WINDOW - 1:
-                hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-                parts |= {(k, k + size) for k in runs(hashes, size, WINDOW).tolist()}
-            parts.discard((0, len(words)))
-            out += [(at + spans[j][0], at + spans[k - 1][1], k - j, False, xxhash.xxh3_128_digest(" ".join(words[j:k]))) for j, k in sorted(parts)]
-            if len(low) > LONG_WORD:
-                for (a, _), w in zip(spans, words):
-                    if len(w) > LONG_WORD:
-                        codes = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) * _ODD[0]
-                        codes ^= codes >> np.uint64(29)
-                        out += [(at + a + k, at + a + k + CHAR_RUN, 1, False, xxhash.xxh3_128_digest(w[k : k + CHAR_RUN])) for k in runs(codes * _ODD[1], CHAR_RUN, CHAR_WINDOW).tolist()]
-            out.append((at + spans[0][0], at + spans[-1][1], len(words), True, xxhash.xxh3_128_digest(" ".join(words))))
-        at += len(line) + 1
-    return out
-
-
-def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The units of all rows of docs, as UNITS says; the 128-bit digest is d1, d2."""
+    most = _sliding(np.concatenate([ends, least, ends]), window, np.maximum)
+    chosen = (most == found) & (found != _NONE)
+    chosen[1:] &= (found[1:] != found[:-1]) | (group[1:n] != group[: n - 1])
+    return np.flatnonzero(chosen)
+
+
+def units(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
+    """(text, begin, end, word, words, digest) of all units of the texts: offsets in
+    code points, the number of the first word, how many words (0 for a run of
+    characters), and 128 bits as two longs."""
+    sizes = np.array([len(t or b"") + 1 for t in texts], np.int64)
+    flat = b"".join(x for t in texts for x in ((t or b"").lower(), b"\n"))
+    b = np.frombuffer(flat, np.uint8)
+    space = _SPACE[b]
+    edge = np.diff(space.astype(np.int8), prepend=1)
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    ends = ends[len(ends) - len(starts) :]
+    text_end = np.cumsum(sizes)
+    owner = np.searchsorted(text_end, starts, "right")
+    line = np.searchsorted(np.flatnonzero(b == 10), starts)
+    chars = np.concatenate([np.zeros(1, np.int64), np.cumsum((b & 0xC0) != 0x80)])
+    first_word = np.searchsorted(starts, text_end - sizes)
+    with np.errstate(over="ignore"):
+        scaled = _BYTE[b] * _powers(_FACTOR, len(b))
+        inverse = _powers(pow(_FACTOR, -1, 1 << 64), len(b))
+        hashes = _mixed(np.add.reduceat(scaled, starts) * inverse[starts]) if len(starts) else np.zeros(0, np.uint64)
+    del scaled, inverse
+    # The normalised text: words with one space between.
+    length = ends - starts
+    place = np.cumsum(length + 1) - length - 1
+    plain = np.full(int((length + 1).sum()), 0x20, np.uint8)
+    plain[np.repeat(place - np.cumsum(length) + length, length) + np.arange(length.sum())] = b[~space]
+    whole = plain.tobytes()
+
+    line_first = np.flatnonzero(np.diff(line, prepend=-1))
+    line_last = np.append(line_first[1:], len(starts)) - 1 if len(starts) else line_first
+    run_first = runs(hashes, owner, RUN, WINDOW)
+    low, high = np.concatenate([line_first, run_first]), np.concatenate([line_last, run_first + RUN - 1])
+    digests = [xxhash.xxh3_128_digest(whole[i:j]) for i, j in zip(place[low].tolist(), (place[high] + length[high]).tolist())]
+    row, count = owner[low], high - low + 1
+    begin, end = chars[starts[low]], chars[ends[high]]
+
+    long = np.flatnonzero(chars[ends] - chars[starts] > LONG_WORD)
+    if len(long):
+        words = [flat[starts[k] : ends[k]].decode("utf-8", "surrogatepass") for k in long]
+        of = np.repeat(np.arange(len(long)), [len(w) for w in words])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        with np.errstate(over="ignore"):
+            at = runs(_mixed(codes * np.uint64(_FACTOR)), of, CHAR_RUN, CHAR_WINDOW)
+        inside = at - np.searchsorted(of, of[at])
+        digests += [xxhash.xxh3_128_digest(words[k][i : i + CHAR_RUN]) for k, i in zip(of[at].tolist(), inside.tolist())]
+        word = long[of[at]]
+        low, row, count = np.concatenate([low, word]), np.concatenate([row, owner[word]]), np.concatenate([count, np.zeros(len(at), np.int64)])
+        begin = np.concatenate([begin, chars[starts[word]] + inside])
+        end = np.concatenate([end, chars[starts[word]] + inside + CHAR_RUN])
+    before = chars[text_end - sizes]
+    pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return row, begin - before[row], end - before[row], low - first_word[row], count, pairs
+
+
+def unit_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The units of all rows of docs, as UNITS says; text_key tells the texts of one
+    id apart, the 128-bit digest is d1, d2."""
 
     def run(batches):
-        names = [x.split()[0] for x in UNITS.split(", ")]
         for b in batches:
-            ids, found, held = [], [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                some = units(text.as_py() or "", min_words)
-                found += some
-                ids += [doc] * len(some)
-                held += len(some)
-                if held > 50_000:
-                    yield batch(ids, found, names)
-                    ids, found, held = [], [], 0
-            yield batch(ids, found, names)
-
-    def batch(ids, found, names):
-        digests = np.frombuffer(b"".join(x[4] for x in found), "<i8").reshape(-1, 2)
-        columns = [pa.array([x[k] for x in found], pa.bool_() if k == 3 else pa.int64()) for k in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns, pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], names)
-
-    return docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text")).mapInArrow(run, UNITS)
-
-
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit to remove: doc_id, begin, end (code points of the original
-    text, end exclusive), n_words, line, first_doc_id and first_begin of the
-    occurrence that stays.
-
-    Occurrences rank by id, null last, then by offset. A digest's rows are never
-    gathered: its count and first occurrence are aggregated before the shuffle,
-    and only digests that repeat are joined back. Units inside a line that goes
-    are listed with it. Repeats inside one document go too. Rows that repeat whole
-    (same id and text) are one document. Null and empty texts have no units; other
-    columns are not read; no rows give none."""
-    all_units = cut(unit_table(docs, id_col, text_col, min_words))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "begin")
+            ids, keys, texts = b.column(0), b.column(1), b.column(2).cast(pa.binary())
+            held, size, first = [], 0, 0
+            for k, t in enumerate(texts):
+                held.append(t.as_py())
+                size += len(held[-1] or b"")
+                if size > LOT or k == len(texts) - 1:
+                    row, begin, end, word, count, pairs = units(held)
+                    at = pa.array(row + first)
+                    small = [pa.array(x.astype(np.int32)) for x in (begin, end, word, count)]
+                    yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), *small, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], [x.split()[0] for x in UNITS.split(", ")])
+                    held, size, first = [], 0, k + 1
+
+    text = col(docs, text_col)
+    return docs.select(col(docs, id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, UNITS)
+
+
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The units to remove: those of unit_table() of which an earlier occurrence
+    stays, with `first` (none, doc_id, text_key, begin of that one).
+
+    Occurrences rank by id, null last, then by text_key and offset. A digest's rows
+    are never gathered: its first occurrence and count are aggregated before the
+    shuffle, and only digests that repeat are joined back. One that overlaps the
+    occurrence that stays is not removed."""
+    all_units = cut(unit_table(docs, id_col, text_col))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "begin")
     heads = all_units.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     heads = cut(heads.filter("n > 1").drop("n"))
-    x = all_units.join(heads, ["d1", "d2"]).filter(~rank.eqNullSafe(F.col("first")))
-    # Rows that repeat whole are made one here, where few are left.
-    return x.select("doc_id", "begin", "end", "n_words", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.begin").alias("first_begin")).distinct()
-
-
-def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated units cut out of the text, and removed_spans: the
-    (begin, end) that went, by the original text. All rows and columns stay."""
-    spans = repeated_units(docs, id_col, text_col, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
-    key, found = fresh(docs, "span_doc", "spans")
-    x = docs.join(spans.select(F.col("doc_id").alias(key), F.col("spans").alias(found)), col(docs, id_col).cast("long").eqNullSafe(F.col(key)), "left")
-    text, spans_ = col(docs, text_col), F.col(found)
-    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    overlaps = same & (F.col("begin") < F.col("first.begin") + F.col("end") - F.col("begin"))
+    return all_units.join(heads, ["d1", "d2"]).filter(~overlaps).drop("d1", "d2")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """One row per passage to remove: doc_id, text_key, begin, end (code points of the
+    original text, end exclusive), n_words, n_units, first_doc_id and first_begin
+    (where its first unit stands first).
+
+    A passage is a stretch of repeated units that touch or overlap. Those of fewer
+    than `least` words stay (of passages without spaces, fewer than CHARS_A_WORD
+    times as many characters); 1 spares none, also a line of one word goes. n_words
+    is 0 inside one long word. Repeats inside one document go too. Rows that repeat
+    whole (same id and text) are one document, as are their passages; other rows are
+    told apart, also if their ids are null or repeat. Null and empty texts have no
+    units; other columns are not read; no rows give none."""
+    x = repeated_units(docs, id_col, text_col).distinct()
+    before = Window.partitionBy("doc_id", "text_key").orderBy("begin", "end", "word").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.col("word") + F.col("n_words")).over(before)
+    touches = (F.col("begin") <= F.max("end").over(before)) | ((F.col("n_words") > 0) & (F.col("word") <= reach))
+    x = x.withColumn("opens", F.when(touches, 0).otherwise(1))
+    upto = Window.partitionBy("doc_id", "text_key").orderBy("begin", "end", "word").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("passage", F.sum("opens").over(upto))
+    words = F.when(F.max("n_words") > 0, F.max(F.col("word") + F.col("n_words")) - F.min("word")).otherwise(0)
+    head = F.min(F.struct("begin", "first"))
+    x = x.groupBy("doc_id", "text_key", "passage").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), words.alias("n_words"), F.count("*").alias("n_units"), head.alias("head"))
+    long = (F.col("n_words") >= least) | ((F.col("n_words") == 0) & (F.col("end") - F.col("begin") >= CHARS_A_WORD * least))
+    return x.filter(long).select("doc_id", "text_key", "begin", "end", "n_words", "n_units", F.col("head.first.doc_id").alias("first_doc_id"), F.col("head.first.begin").alias("first_begin"))
+
+
+def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1) -> DataFrame:
+    """docs with the passages cut out of the text, and removed_spans: the (begin, end)
+    that went, by the original text; null where none did. All rows and columns stay;
+    of rows that share an id each loses what is its own text's."""
+    spans = passages(docs, id_col, text_col, least).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+    key, own, found = fresh(docs, "span_doc", "span_text", "spans")
+    text = col(docs, text_col)
+    match = col(docs, id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(own))
+    x = docs.join(spans.select(F.col("doc_id").alias(key), F.col("text_key").alias(own), F.col("spans").alias(found)), match, "left")
+    spans_ = F.col(found)
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
 
     def step(acc, s):
-        return F.struct(F.concat(acc.kept, F.substring(text, (acc.at + 1).cast("int"), F.greatest(s.begin - acc.at, F.lit(0)).cast("int"))).alias("kept"), F.greatest(acc.at, s.end).alias("at"))
+        return F.struct(F.concat(acc.kept, F.substring(text, acc.at + 1, s.begin - acc.at)).alias("kept"), s.end.alias("at"))
 
-    left = F.aggregate(spans_, start, step, lambda acc: F.concat(acc.kept, F.substring(text, (acc.at + 1).cast("int"), F.length(text))))
+    left = F.aggregate(spans_, start, step, lambda acc: F.concat(acc.kept, F.substring(text, acc.at + 1, F.length(text))))
     removed, = fresh(docs, "removed_spans")
     return x.select(*(F.when(spans_.isNull(), text).otherwise(left).alias(c) if c == text_col else col(docs, c) for c in docs.columns), spans_.alias(removed))

@@ -300,66 +300,179 @@ def test_pack_balances_cost():
 # 5: line dedup
 
 
-def test_passages_are_found_wherever_they_stand(spark):
-    rng = random.Random(7)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
-    text = lambda n: " ".join(word() + ("." if rng.random() < 0.1 else "") for _ in range(n))
-    plain = lambda n: " ".join(word() for _ in range(n))
-    passages = [text(60) for _ in range(8)] + [plain(60) for _ in range(8)]
-    rows, first, second = [], {}, {}
-    for k in range(100):
-        rows.append([k, text(120)])
-    for j, p in enumerate(passages):
-        for d in (2 * j, 50 + 2 * j):
-            a, b = rows[d][1][:200].rsplit(" ", 1)[0], rows[d][1][200:].split(" ", 1)[1]
-            rows[d][1] = f"{a} {p} {b}"
-        second[50 + 2 * j] = 2 * j
-    got = linededup.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"] for r in got} == set(second)
-    for r in got:
-        assert r["first_doc_id"] == second[r["doc_id"]]
-        a, b = dict(map(tuple, rows))[r["doc_id"]][r["begin"] : r["end"]], dict(map(tuple, rows))[r["first_doc_id"]][r["first_begin"] :]
-        assert b.lower().startswith(a.lower())
-
-
-def test_short_lines_and_any_passage_have_units():
+def slow_hash(codes, size, window, factor=linededup._FACTOR):
+    """Begins of the runs that are units, by the definition, one window at a time."""
+    m = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & m
+        return (x ^ x >> 29) >> 1
+
+    found = [mixed(sum(c * pow(factor, i, 1 << 64) for i, c in enumerate(codes[k : k + size])) & m) for k in range(len(codes) - size + 1)]
+    chosen = set()
+    for k in range(len(found) - window + 1):
+        least = min(found[k : k + window])
+        chosen |= {j for j in range(k, k + window) if found[j] == least}
+    return sorted(j for j in chosen if not j or found[j] != found[j - 1])
+
+
+def slow_units(text):
+    """(begin, end, word, words, normalised text) of all units, text by text and word
+    by word: none of the operator's code."""
+    m, out = (1 << 64) - 1, []
+    low = re.sub("[A-Z]", lambda x: x[0].lower(), text or "")
+    spans = [x.span() for x in re.finditer(r"[^\x20\x09-\x0D]+", low)]
+    w = [low[a:b] for a, b in spans]
+
+    def unit(i, j):
+        out.append((spans[i][0], spans[j - 1][1], i, j - i, " ".join(w[i:j])))
+
+    def mixed(x):
+        x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & m
+        return (x ^ x >> 29) >> 1
+
+    at = 0
+    for line in low.split("\n"):
+        inside = [k for k, (a, _) in enumerate(spans) if at <= a < at + len(line)]
+        if inside:
+            unit(inside[0], inside[-1] + 1)
+        at += len(line) + 1
+    codes = [mixed(sum(int(linededup._BYTE[c]) * pow(linededup._FACTOR, i, 1 << 64) for i, c in enumerate(x.encode())) & m) for x in w]
+    for k in slow_hash(codes, linededup.RUN, linededup.WINDOW):
+        unit(k, k + linededup.RUN)
+    for k, x in enumerate(w):
+        if len(x) > linededup.LONG_WORD:
+            for i in slow_hash([mixed(ord(c) * linededup._FACTOR & m) for c in x], linededup.CHAR_RUN, linededup.CHAR_WINDOW):
+                out.append((spans[k][0] + i, spans[k][0] + i + linededup.CHAR_RUN, k, 0, x[i : i + linededup.CHAR_RUN]))
+    return out
+
+
+def fast_units(text):
+    row, begin, end, word, count, pairs = linededup.units([(text or "").encode()])
+    return list(zip(begin.tolist(), end.tolist(), word.tolist(), count.tolist(), (p.tobytes() for p in pairs)))
+
+
+def digest_of(x):
+    return xxhash.xxh3_128_digest(x)
+
+
+def test_units_are_cut_as_defined(docs):
     rng = random.Random(3)
+    chars = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    texts = [r["text"] for r in docs.select("text").limit(60).collect()]
+    texts += ["", None, " \n\t\n", "one", "A  B\tc\n\n d", "the " * 90, "ab cd " * 50 + "\n" + "ab cd " * 50, chars(200), f"x {chars(60)} y {chars(90)}\nÉ É é", "é\x0b\x1cü " * 60, "Z" * 300]
+    texts = [t if t is None else t[:6000] for t in texts]
+    batch = linededup.units([None if t is None else t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        want = Counter((a, b, i, n, digest_of(x)) for a, b, i, n, x in slow_units(t))
+        assert Counter(fast_units(t)) == want
+        at = batch[0] == k
+        assert Counter(zip(batch[1][at].tolist(), batch[2][at].tolist(), batch[3][at].tolist(), batch[4][at].tolist(), (p.tobytes() for p in batch[5][at]))) == want
+
+
+def test_any_passage_has_a_unit():
+    rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
     plain = lambda n: " ".join(word() for _ in range(n))
     short = lambda n: " ".join(word() + ("." if k % 5 == 4 else "") for k in range(n))
     chars = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
-    digests = lambda text: {x[-1] for x in linededup.units(text)}
-    assert digests("All rights reserved.\nA b.") & digests("x\nall  rights reserved.") and not linededup.units(" \n\t\n")
-    for make, n, space in ((plain, 35, " "), (short, 35, " "), (chars, 50, "")):
-        for _ in range(300):
+    wrapped = lambda text: re.sub(" ", lambda _: rng.choice([" ", " ", "\n", "  "]), text)
+    for make, n, space in ((plain, 43, " "), (short, 43, " "), (chars, 50, "")):
+        for _ in range(200):
             p = make(n)
-            a, b = (space.join([make(rng.randint(20, 90)), p, make(rng.randint(20, 90))]) for _ in range(2))
-            assert digests(a) & digests(b)
-            for begin, end, _, _, digest in linededup.units(a):
-                assert digest == xxhash.xxh3_128_digest(a[begin:end].lower())
-
-
-def test_line_dedup_against_brute_force(spark, docs):
-    seen, want = {}, []
-    for doc, text in sorted(tuple(r) for r in docs.select("doc_id", "text").collect()):
-        for begin, end, n, line, digest in sorted(set(linededup.units(text))):
-            first = seen.setdefault(digest, (doc, begin))
-            if first != (doc, begin):
-                want.append((doc, begin, end, n, line, *first))
-    assert Counter(map(tuple, linededup.repeated_units(docs).collect())) == Counter(want)
-    lines = Counter(" ".join(words(x)).lower() for r in docs.select("text").collect() for x in set(r["text"].split("\n")) if len(words(x)) >= linededup.MIN_WORDS)
-    assert max(lines.values()) > 1
+            a, b = (space.join([make(rng.randint(20, 90)), wrapped(p), make(rng.randint(20, 90))]) for _ in range(2))
+            assert {x[4] for x in fast_units(a)} & {x[4] for x in fast_units(b)}
+
+
+def brute_passages(rows, least):
+    """By definition, from slow_units(): repeated units, put together word by word."""
+    whole = sorted({(i is None, i or 0, t) for i, t in rows if t})
+    keys = {}
+    for none, i, t in whole:
+        keys.setdefault((none, i), []).append(t)
+    assert all(len(v) == 1 for v in keys.values())  # where ids tell rows apart
+    first, out = {}, []
+    for none, i, t in whole:
+        found = []
+        for a, b, word, n, x in sorted(slow_units(t)):
+            head = first.setdefault(digest_of(x), (none, i, a))
+            if head[:2] != (none, i) or a >= head[2] + b - a:
+                found.append((a, b, word, n, head))
+        while found:
+            a, b, word, n, head = found.pop(0)
+            reach, some = word + n, [(a, b, word, n, head)]
+            while found and (found[0][0] <= b or found[0][3] > 0 and found[0][2] <= reach):
+                some.append(found.pop(0))
+                b, reach = max(b, some[-1][1]), max(reach, some[-1][2] + some[-1][3])
+            words_ = reach - min(s[2] for s in some) if any(s[3] for s in some) else 0
+            if words_ >= least or not words_ and b - a >= linededup.CHARS_A_WORD * least:
+                h = min((s[0], s[4]) for s in some)[1]
+                out.append((None if none else i, a, b, words_, len({s[:4] for s in some}), None if h[0] else h[1], h[2]))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("least", [1, linededup.LEAST])
+def test_line_dedup_against_brute_force(spark, docs, least):
+    some = docs.select("doc_id", "text").filter(F.length("text") < 4000).limit(120)
+    rows = [tuple(r) for r in some.collect()]
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    shared = [plain(60) for _ in range(8)]
+    spliced = [(10_000 + k, f"{plain(50)} {shared[k % 8]} {plain(70)}\nAll rights reserved.\n{'and ' * 60}") for k in range(24)]
+    rows += spliced + [(20_000, "字" * 20 + "".join(chr(0x4E00 + k) for k in range(80))), (20_001, "".join(chr(0x4E00 + k) for k in range(80)) + "終" * 30), (None, f"{shared[0]} x"), (20_002, "ab cd " * 100)]
+    got = linededup.passages(spark.createDataFrame(rows, "doc_id long, text string"), least=least).drop("text_key")
+    want = brute_passages(rows, least)
+    assert Counter(map(tuple, got.collect())) == want
+    found = {r[0] for r in want}
+    assert {d for d, _ in spliced[8:]} <= found and None in found and 20_001 in found
+    # Clean documents with a licence line only stay whole unless every line counts.
+    assert (spliced[0][0] in found) == (least == 1)
+
+
+def test_repeated_lines_against_sql(spark, docs):
+    """Every line, however short: DuckDB's grouping of the same lines."""
+    import duckdb
+
+    sql = rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM '{SF}/documents.parquet'),
+    n AS (SELECT doc_id, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS line FROM l),
+    h AS (SELECT line, MIN(doc_id) AS head FROM n WHERE line <> '' GROUP BY line)
+    SELECT DISTINCT doc_id, line FROM n JOIN h USING (line) WHERE doc_id > head"""
+    want = {tuple(r) for r in duckdb.sql(sql).fetchall()}
+    assert len(want) > 50
+    texts = dict(map(tuple, docs.select("doc_id", "text").collect()))
+    gone = defaultdict(list)
+    for r in linededup.passages(docs).collect():
+        gone[r["doc_id"]].append((r["begin"], r["end"]))
+    for doc, line in want:
+        spans = [m.span() for m in re.finditer(r"[^\n]+", texts[doc]) if " ".join(words(m[0])).translate({c: c + 32 for c in range(65, 91)}) == line]
+        for a, b in spans:
+            lead = len(texts[doc][a:b]) - len(texts[doc][a:b].lstrip(" \t\x0b\x0c\r"))
+            assert any(x <= a + lead < y for x, y in gone[doc]), (doc, line)
 
 
 def test_dedup_texts(spark, awkward, nothing):
     line = "this line of more than eight words stands in many places"
-    rows = [(1, f"A b.\n{line}\nend"), (2, f"{line}\nX\n{line.upper()}"), (3, None), (4, "")]
+    rows = [(1, f"A b.\n{line}\nend"), (2, f"{line}\nX\n{line.upper()}\nY z"), (3, None), (4, "")]
     got = {r["doc_id"]: r for r in linededup.dedup_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["text"] == rows[0][1] and got[1]["removed_spans"] is None
-    assert got[2]["text"] == "\nX\n" and [tuple(s) for s in got[2]["removed_spans"]] == [(0, len(line)), (len(line) + 3, 2 * len(line) + 3)]
+    assert got[2]["text"] == "\nX\n\nY z" and [tuple(s) for s in got[2]["removed_spans"]] == [(0, len(line)), (len(line) + 3, 2 * len(line) + 3)]
     assert got[3]["text"] is None and got[4]["text"] == ""
-    assert linededup.dedup_texts(awkward).count() == len(TEXTS)
-    assert linededup.repeated_units(nothing).count() == 0
+    made = linededup.dedup_texts(awkward)
+    assert made.count() == len(TEXTS) and made.columns == [*awkward.columns, "removed_spans"]
+    assert linededup.passages(nothing).count() == linededup.dedup_texts(nothing).count() == 0
+
+
+def test_dedup_texts_by_row_not_by_id(spark):
+    """Rows whose id is null or shared lose what is their own text's only."""
+    rng = random.Random(2)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    p = plain(60)
+    rows = [(1, f"{p}\n{plain(40)}"), (None, f"{plain(50)}\n{p}\nx y"), (None, plain(90)), (None, plain(90)), (7, f"{plain(30)}\n{p}"), (7, plain(80)), (7, plain(80))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit(1), "span_doc": F.lit(2), "removed_spans": F.lit("x")})
+    for least in (1, linededup.LEAST):
+        got = Counter(map(tuple, linededup.dedup_texts(frame, least=least).select("doc_id", "text").collect()))
+        assert got == Counter((i, t if i == 1 else t.replace(p, "")) for i, t in rows)
 
 
 # 6: repetition
@@ -524,6 +637,73 @@ def test_toxicity_awkward(spark, awkward, nothing):
     assert toxicity.train([], []) is None and toxicity.train([b"a"], [1]) is None
 
 
+def slow_scores(m, texts):
+    """The forward pass word by word and window by window, in plain Python."""
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    mask = (1 << 64) - 1
+
+    def vector(w):
+        marked, sums, n = b"<" + w + b">", np.zeros(toxicity.DIM), 0
+        for size in toxicity.SIZES:
+            for k in range(len(marked) - size + 1):
+                h = 0xCBF29CE484222325
+                for c in marked[k : k + size]:
+                    h = (h ^ c) * 0x100000001B3 & mask
+                sums += m.gram[1 + ((h ^ h >> 29) * 0x9E3779B97F4A7C15 & mask) % (1 << 64) // (1 << 40) % (toxicity.GRAMS - 1)]
+                n += 1
+        return m.word[m.vocab.get(w, 0)] + sums / np.sqrt(n)
+
+    def window(some):
+        xs = [vector(w) if w else m.word[0] + m.gram[0] for w in some] + [m.word[0] + m.gram[0]] * (toxicity.WINDOW - len(some))
+        real = [bool(w) for w in some] + [False] * (toxicity.WINDOW - len(some))
+        states = []
+        for d, (w, u, b) in enumerate(m.gates):
+            h, out, size = np.zeros(toxicity.HIDDEN), {}, toxicity.HIDDEN
+            for t in (range(toxicity.WINDOW), reversed(range(toxicity.WINDOW)))[d]:
+                x = xs[t] @ w + b
+                z, r = sig(x[:size] + h @ u[:, :size]), sig(x[size : 2 * size] + h @ u[:, size : 2 * size])
+                h = h + z * (np.tanh(x[2 * size :] + (r * h) @ u[:, 2 * size :]) - h)
+                out[t] = h
+            states.append([out[t] for t in range(toxicity.WINDOW)])
+        both = [np.concatenate(p) for p in zip(*states)]
+        e = np.array([x @ m.attend if ok else -1e9 for x, ok in zip(both, real)])
+        a = np.exp(e - e.max())
+        return sum(p * x for p, x in zip(a / a.sum(), both)) @ m.out + m.bias[0]
+
+    out = []
+    for t in texts:
+        w = toxicity.split(t)
+        starts = range(0, max(1, len(w) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP) if w else []
+        best = max((window(w[k : k + toxicity.WINDOW]) for k in starts), default=-20.0)
+        a, b, c = m.calibration
+        out.append(sig(a * np.clip(best, -20, 20) + b * np.log1p(len(w)) + c))
+    return out
+
+
+def test_toxicity_scores_against_a_slow_pass(docs):
+    rng = random.Random(3)
+    good = ["".join(rng.choice(["ba", "ne", "ti", "lo"]) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    text = lambda *more: " ".join(rng.sample(good, 20) + list(more)).encode()
+    m = toxicity.train([text("zorkface") for _ in range(30)] + [text() for _ in range(60)], [1] * 30 + [0] * 60)
+    texts = [r["text"].encode()[:3000] for r in docs.select("text").limit(25).collect()] + [b"", None, b"- . !", b"one", text("zorkface"), b"Q" * 150, "字".encode() * 100, text("x" * 40 + "zorkface" + "y" * 40)]
+    assert np.allclose(toxicity.scores(m, texts), slow_scores(m, texts), atol=1e-4)
+
+
+def test_toxicity_reads_all_of_a_word():
+    """What tells stands deep inside a long word, which training never met."""
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice(["ba", "ne", "ti", "lo", "ru", "mi", "so"]) for _ in range(n))
+    plain = lambda n: [part(rng.randint(1, 4)) for _ in range(n)]
+    bad = lambda: rng.choice([part(2), ""]) + "zorkquex" + rng.choice([part(2), ""])
+    toxic = [" ".join([*plain(20), bad(), *plain(9), bad()]).encode() for _ in range(120)]
+    clean = [" ".join(plain(30)).encode() for _ in range(240)]
+    m = toxicity.train(toxic + clean, [1] * 120 + [0] * 240)
+    for before, after in ((4, 4), (7, 6), (20, 20), (100, 90)):
+        words_ = [part(before) + "zorkquex" + part(after) for _ in range(20)]
+        scored = toxicity.scores(m, [" ".join([*plain(8), w, *plain(8)]).encode() for w in words_] + [" ".join([*plain(8), part(before + after + 4), *plain(8)]).encode() for _ in range(20)])
+        assert (scored[:20] >= toxicity.THRESHOLD).mean() >= 0.9 and (scored[20:] >= toxicity.THRESHOLD).mean() <= 0.1, (before, scored)
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(1)
     m = toxicity.train([b"bad day here now"] * 4 + [b"good day here now"] * 4, [1] * 4 + [0] * 4)
