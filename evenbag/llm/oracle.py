@@ -23,25 +23,29 @@ FROM r"""
 
 
 def _repetition() -> str:
-    parts, names = [], []
-    for k in repetition.MAX_NGRAM_SHARE:
-        gram = " || ' ' || ".join(["w"] + [f"lead(w, {j}) OVER (PARTITION BY doc_id, row_id ORDER BY i)" for j in range(1, k)])
+    shares, tops = repetition.MAX_NGRAM_SHARE, repetition.MAX_TOP_SHARE
+    parts = []
+    for k in (*tops, *shares):
+        gram = " || ' ' || ".join(["w"] + [f"lead(w, {j}) OVER (PARTITION BY row_id ORDER BY i)" for j in range(1, k)])
         parts.append(f"g{k} AS (SELECT row_id, i, g FROM (SELECT row_id, i, {gram} AS g FROM w) WHERE g IS NOT NULL)")
+    for k in tops:
+        parts.append(f"c{k} AS (SELECT row_id, MAX(n * chars) AS chars FROM (SELECT row_id, COUNT(*) AS n, length(g) - {k - 1} AS chars FROM g{k} GROUP BY row_id, g) WHERE n >= {repetition.TOP_TIMES} GROUP BY row_id)")
+    for k in shares:
         parts.append(f"r{k} AS (SELECT row_id, i FROM (SELECT *, COUNT(*) OVER (PARTITION BY row_id, g) AS n FROM g{k}) WHERE n > 1)")
-        parts.append(f"c{k} AS (SELECT w.row_id, COUNT(*) AS words, SUM(length(w)) AS chars FROM w JOIN (SELECT DISTINCT row_id, i + j AS i FROM r{k}, range({k}) t(j)) x ON w.row_id = x.row_id AND w.i = x.i GROUP BY w.row_id)")
-        names.append(k)
-    joins = " ".join(f"LEFT JOIN c{k} ON c{k}.row_id = d.row_id" for k in names)
-    grams = ", ".join(f"CAST(coalesce(c{k}.chars, 0) AS BIGINT) AS dup_{k}gram_chars" for k in names)
-    bad = " OR ".join([f"dup_line_chars > CAST({repetition.MAX_LINE_SHARE} AS DOUBLE) * word_chars", *(f"dup_{k}gram_chars > CAST({s} AS DOUBLE) * word_chars" for k, s in repetition.MAX_NGRAM_SHARE.items())])
+        parts.append(f"c{k} AS (SELECT w.row_id, COUNT(*) AS words, SUM(CASE WHEN own THEN length(w) ELSE 0 END) AS chars FROM w JOIN (SELECT DISTINCT row_id, i + j AS i FROM r{k}, range({k}) t(j)) x ON w.row_id = x.row_id AND w.i = x.i GROUP BY w.row_id)")
+    joins = " ".join(f"LEFT JOIN c{k} ON c{k}.row_id = d.row_id" for k in (*tops, *shares))
+    grams = ", ".join([f"CAST(coalesce(c{k}.chars, 0) AS BIGINT) AS top_{k}gram_chars" for k in tops] + [f"CAST(coalesce(c{k}.chars, 0) AS BIGINT) AS dup_{k}gram_chars" for k in shares])
+    over = lambda c, share: f"{c} > CAST({share} AS DOUBLE) * word_chars"
+    bad = " OR ".join([f"n_dup_lines >= {repetition.MIN_DUP_LINES} AND {over('dup_line_chars', repetition.MAX_LINE_SHARE)}", *(over(f"top_{k}gram_chars", x) for k, x in tops.items()), *(over(f"dup_{k}gram_chars", x) for k, x in shares.items())])
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
-ws AS (SELECT row_id, doc_id, {_WORDS} AS words FROM d),
-w AS (SELECT row_id, doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM ws),
+l AS (SELECT row_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM d),
+lw AS (SELECT row_id, ln, {_WORDS.replace("text", "line")} AS words, COUNT(*) OVER (PARTITION BY row_id, line) < 2 AS own FROM l),
+w AS (SELECT row_id, w, own, row_number() OVER (PARTITION BY row_id ORDER BY ln, j) AS i FROM (SELECT row_id, ln, own, unnest(words) AS w, generate_subscripts(words, 1) AS j FROM lw)),
 {", ".join(parts)},
-l AS (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM d),
 lines AS (SELECT row_id, line, COUNT(*) - 1 AS again, length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) AS chars FROM l GROUP BY row_id, line),
 dl AS (SELECT row_id, SUM(again) AS n, SUM(again * chars) AS chars FROM lines WHERE chars > 0 GROUP BY row_id),
-n AS (SELECT row_id, len(words) AS n FROM ws),
+n AS (SELECT row_id, CAST(SUM(len(words)) AS BIGINT) AS n FROM lw GROUP BY row_id),
 f AS (SELECT d.doc_id, n.n AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(c5.words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(dl.chars, 0) AS BIGINT) AS dup_line_chars, {grams}

@@ -482,23 +482,25 @@ def slow_repetition(text):
     w = words(text)
     n = len(w)
     out = [n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or "")]
-    seen, dup, chars = set(), 0, 0
-    for line in (text or "").split("\n"):
-        if words(line):
-            if line in seen:
-                dup += 1
-                chars += sum(map(len, words(line)))
-            seen.add(line)
-    inside = {}
-    for k in (5, *repetition.MAX_NGRAM_SHARE):
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    times = Counter(lines)
+    own = [times[x] == 1 for x in lines for _ in words(x)]
+    again = [x for k, x in enumerate(lines) if x in lines[:k]]
+    chars = sum(len(y) for x in again for y in words(x))
+    top, inside = [], {}
+    for k in (*repetition.MAX_TOP_SHARE, *repetition.MAX_NGRAM_SHARE):
         at = defaultdict(list)
         for i in range(n - k + 1):
             at[tuple(w[i : i + k])].append(i)
-        inside[k] = {i + j for v in at.values() if len(v) > 1 for i in v for j in range(k)}
-    share = [sum(len(w[i]) for i in inside[k]) for k in repetition.MAX_NGRAM_SHARE]
+        if k in repetition.MAX_TOP_SHARE:
+            top.append(max((len(v) * sum(map(len, g)) for g, v in at.items() if len(v) >= 3), default=0))
+        else:
+            inside[k] = {i + j for v in at.values() if len(v) > 1 for i in v for j in range(k)}
+    share = [sum(len(w[i]) for i in v if own[i]) for v in inside.values()]
     base = n < 10 or 100 * len(inside[5]) > 20 * n
-    bad = chars > repetition.MAX_LINE_SHARE * out[1] or any(c > s * out[1] for c, s in zip(share, repetition.MAX_NGRAM_SHARE.values()))
-    return (*out, dup, len(inside[5]), chars, *share, base, not base and not bad)
+    limits = [*zip(top, repetition.MAX_TOP_SHARE.values()), *zip(share, repetition.MAX_NGRAM_SHARE.values())]
+    bad = len(again) > 1 and chars > repetition.MAX_LINE_SHARE * out[1] or any(c > s * out[1] for c, s in limits)
+    return (*out, len(again), len(inside[5]), chars, *top, *share, base, not base and not bad)
 
 
 def test_repetition_against_brute_force(spark, docs, awkward, nothing):
@@ -508,6 +510,33 @@ def test_repetition_against_brute_force(spark, docs, awkward, nothing):
     assert repetition.repetition_rules(nothing).count() == 0
 
 
+def test_each_length_alone_decides():
+    """Texts of which one length's rule, and no other, rejects."""
+    rng = random.Random(1)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    names = ["words", "chars", "symbols", "dup_lines", "repeat", "line", *repetition.MAX_TOP_SHARE, *repetition.MAX_NGRAM_SHARE, "base", "kept"]
+    limits = {"line": repetition.MAX_LINE_SHARE, **repetition.MAX_TOP_SHARE, **repetition.MAX_NGRAM_SHARE}
+
+    def rejecting(text):
+        got = dict(zip(names, repetition.measure(text.encode())))
+        assert got == dict(zip(names, slow_repetition(text))) and not got["base"] and not got["kept"]
+        return [k for k, share in limits.items() if got[k] > share * got["chars"] and (k != "line" or got["dup_lines"] > 1)]
+
+    for size, share in repetition.MAX_NGRAM_SHARE.items():
+        gram, n = [word(6) for _ in range(size)], round(2 * size / (share + 0.005))
+        rest = [word(6) for _ in range(n - 2 * size)]
+        assert rejecting(" ".join(rest[:9] + gram + rest[9:17] + gram + rest[17:])) == [size]
+    for size, share in repetition.MAX_TOP_SHARE.items():
+        gram, n = [word(6) for _ in range(size)], round(3 * size / (share + 0.01))
+        rest = [word(6) for _ in range(n - 3 * size)]
+        assert rejecting(" ".join(rest[:3] + gram + rest[3:5] + gram + rest[5:6] + gram + rest[6:])) == [size]
+    line, rest = word(12), [word(6) for _ in range(7)]
+    assert rejecting(f"{line}\n{' '.join(rest[:3])}\n{line}\n{' '.join(rest[3:])}\n{line}") == ["line"]
+    # One header line that comes twice, in a short text.
+    header = " ".join(word(6) for _ in range(6))
+    assert repetition.measure(f"{header}\n{' '.join(word(6) for _ in range(60))}\n{header}".encode())[-1]
+
+
 # 7: chat
 
 
