@@ -100,8 +100,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share=SHARE, most=MOST, block=BLOCK, shard=SHARD, seed=SEED, keep_all=False) -> DataFrame:
     """One row per document: id, size, source_size, target, taken; with keep_all
-    docs' columns instead, and a last column __mix (struct of size, passes, first,
-    and what selected() needs).
+    docs' columns instead, and a last column of a new name (struct of size, passes,
+    first, and what selected() needs).
 
     size is the number of words. taken counts the words the mix takes, repeats
     included: a shard with a quota of q of its n blocks takes all blocks q div n
@@ -112,8 +112,8 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     A null text has no words, a null source is a source of its own. Ties of the
     seeded order fall to equal rows or to the id; repeated rows each count. An
     empty table gives none. Other columns are neither read nor changed."""
-    names = fresh(docs, "missing", "name", "size", "hash", "shard", "start", "whole", "blocks", "quota", "goal", "source_total")
-    missing, name, size, hashed, shard_, start, whole, blocks, quota, goal, total = names
+    names = fresh(docs, "missing", "name", "size", "hash", "shard", "start", "whole", "blocks", "quota", "goal", "source_total", "shards", "mix")
+    missing, name, size, hashed, shard_, start, whole, blocks, quota, goal, total, n_shards, taken_at = names
     base = docs if keep_all else docs.select(id_col, text_col, source_col)
     base = base.withColumns({
         missing: col(docs, source_col).isNull(), name: F.coalesce(col(docs, source_col).cast("string"), F.lit("")),
@@ -144,9 +144,9 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     quotas = sizes.join(apportion(leaves, by_source, group, 128), [*group, "index"])
     quotas = cut(quotas.select(F.col("missing").alias(missing), F.col("name").alias(name), F.col("index").alias(shard_), F.col("whole").alias(whole), F.col("blocks").alias(blocks), F.col("quota").alias(quota)))
 
-    facts = sources.select(F.col("missing").alias(missing), F.col("name").alias(name), "shards", F.col("total").alias(total), F.col("target").alias(goal))
+    facts = sources.select(F.col("missing").alias(missing), F.col("name").alias(name), F.col("shards").alias(n_shards), F.col("total").alias(total), F.col("target").alias(goal))
     rows = base if keep_all else slim.select(F.col("id").alias(id_col), F.col("missing").alias(missing), F.col("name").alias(name), F.col("size").alias(size), F.col("hash").alias(hashed))
-    rows = rows.join(to_all(facts), [missing, name]).withColumn(shard_, index(F.col(hashed), F.col("shards"))).drop("shards")
+    rows = rows.join(to_all(facts), [missing, name]).withColumn(shard_, index(F.col(hashed), F.col(n_shards))).drop(n_shards)
     rows = rows.join(quotas, [missing, name, shard_])
     before = Window.partitionBy(missing, name, shard_).orderBy(hashed, id_col, size).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(start, F.coalesce(F.sum(size).over(before), F.lit(0)))
@@ -155,7 +155,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     passes = F.when(F.col(blocks) > 0, F.floor(F.col(quota) / F.col(blocks))).otherwise(0).cast("long")
     at = F.struct(F.col(size).alias("size"), passes.alias("passes"), F.col(start).alias("first"), F.col(blocks).alias("blocks"), extra.alias("extra"), turn.alias("turn"))
     if keep_all:
-        return rows.withColumn("__mix", at).select(*(col(docs, c) for c in docs.columns), "__mix")
+        return rows.withColumn(taken_at, at).select(*(col(docs, c) for c in docs.columns), taken_at)
     rows = rows.withColumn("at", at)
     inside = chosen_before(F.col("at.first") + F.col("at.size"), "at", block) - chosen_before(F.col("at.first"), "at", block)
     taken = F.when(F.col(blocks) > 0, F.col("at.passes") * F.col("at.size") + inside).otherwise(0)
@@ -183,15 +183,15 @@ def mixed_texts(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     stays once if its source has none at all, else it has nothing to give and
     goes. Nulls, ties and repeated rows as in mix()."""
     rows = mix(docs, id_col, text_col, source_col, block=block, keep_all=True, **how)
-    text = col(docs, text_col)
+    text, at = col(docs, text_col), rows.columns[-1]
     pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"))
-    block_of = lambda i: F.floor((F.col("__mix.first") + i) / block)
-    some = F.array_join(F.filter(pieces, lambda _, i: selected(block_of(i), "__mix") == 1), "")
-    part = F.when((F.col("__mix.extra") > 0) & (F.col("__mix.size") > 0), F.ltrim(some))
-    last, new = fresh(docs, "last_pass", "mixed_text")
+    block_of = lambda i: F.floor((F.col(f"{at}.first") + i) / block)
+    some = F.array_join(F.filter(pieces, lambda _, i: selected(block_of(i), at) == 1), "")
+    part = F.when((F.col(f"{at}.extra") > 0) & (F.col(f"{at}.size") > 0), F.ltrim(some))
+    last, new = fresh(rows, "last_pass", "mixed_text")
     rows = rows.withColumn(last, part)
     none = F.array().cast("array<string>")
-    copies = F.concat(F.array_repeat(text, F.col("__mix.passes").cast("int")), F.when(F.length(F.col(last)) > 0, F.array(F.col(last))).otherwise(none))
-    kept = F.when(F.col("__mix.size") > 0, copies).otherwise(F.when(F.col("__mix.blocks") == 0, F.array(text)).otherwise(none))
+    copies = F.concat(F.array_repeat(text, F.col(f"{at}.passes").cast("int")), F.when(F.length(F.col(last)) > 0, F.array(F.col(last))).otherwise(none))
+    kept = F.when(F.col(f"{at}.size") > 0, copies).otherwise(F.when(F.col(f"{at}.blocks") == 0, F.array(text)).otherwise(none))
     rows = rows.withColumn(new, F.explode(kept))
     return rows.select(*(F.col(new).alias(c) if c == text_col else col(docs, c) for c in docs.columns))
