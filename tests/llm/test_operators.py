@@ -28,7 +28,7 @@ SCHEMA = "doc_id long, text string, source string"
 @pytest.fixture(scope="module")
 def awkward(spark):
     """Nulls, empty and long texts, repeats, and columns named like the operators'."""
-    clash = {c: F.lit(1) for c in ("hash", "size", "start", "h", "fp", "score", "found", "made", "id", "missing", "name", "n_private", "seq", "row", "part")}
+    clash = {c: F.lit(1) for c in ("hash", "size", "start", "h", "fp", "score", "found", "made", "id", "missing", "name", "n_private", "seq", "row", "part", "shards", "mix", "__mix", "whole", "blocks", "quota", "text_key", "begin", "ids", "doc_tokens")}
     return spark.createDataFrame(TEXTS, SCHEMA).withColumns(clash)
 
 
@@ -215,20 +215,151 @@ def test_pii_formats_and_links(spark):
     for card in re.findall(r"\d{16}|\d{4}-\d{4}-\d{4}-\d{4}", new):
         assert luhn(card.replace("-", ""))
     assert pii.pseudonymize(frame, key="other").filter("doc_id = 1").first()["text"] != new
+    # The key is the session's; without one it gets its own, which is not in the code.
+    assert len(pii.session_key(spark)) >= 32 and spark.conf.get(pii.KEY_CONF) == pii.session_key(spark)
+
+
+def brute_kind(text):
+    digits = re.sub("[^0-9]", "", text)
+    day = next((d for f in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y") if (d := brute_day(text, f))), None)
+    if "@" in text:
+        return "mail"
+    if text.startswith("AKIA"):
+        return "key"
+    if re.match(r"(?i:password|passwd|pwd|token|secret|api_key) ?[=:]", text, re.A):
+        return "secret"
+    if re.fullmatch(r"\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4}", text) and day:
+        return "date"
+    if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", text) and all(int(x) < 256 for x in text.split(".")):
+        return "ip"
+    if re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", text):
+        return "ssn"
+    if re.fullmatch(r"[0-9 -]+", text) and 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1:
+        return "card"
+    if (text[0] == "+" or re.fullmatch(r"\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}", text)) and 7 <= len(digits) <= 15:
+        return "phone"
+
+
+def brute_day(text, format_):
+    import datetime as dt
+
+    try:
+        return dt.datetime.strptime(text, format_).date()
+    except ValueError:
+        return None
+
+
+def brute_pseudonym(text, key, rounds=pii.ROUNDS):
+    import datetime as dt
+
+    kind = brute_kind(text)
+    sha = lambda *x: hashlib.sha256("|".join(map(str, x)).encode()).hexdigest()
+    k = f"{key}|{kind}"
+
+    def shift(t, h):
+        out = ""
+        for i, c in enumerate(t):
+            low, high = next(((x[0], x[1]) for x in ("09", "af", "gz", "AF", "GZ") if x[0] <= c <= x[1]), (c, c))
+            out += chr(ord(low) + (ord(c) - ord(low) + int(h[i % 16 * 4 :][:4], 16)) % (ord(high) - ord(low) + 1))
+        return out
+
+    def letters(t):
+        half = -(-len(t) // 2)
+        left, right = t[:half], t[half:]
+        for i in range(1, rounds + 1):
+            left, right = right, shift(left, sha(k, i, right))
+        return left + right
+
+    def number(n, a, b):
+        left, right = divmod(n, b)
+        for i in range(1, rounds + 1):
+            if i % 2:
+                left = (left + int(sha(k, i, right)[:12], 16)) % a
+            else:
+                right = (right + int(sha(k, i, left)[:12], 16)) % b
+        return left * b + right
+
+    def fill(t, digits):
+        it = iter(digits)
+        return re.sub("[0-9]", lambda _: next(it), t)
+
+    digits = re.sub("[^0-9]", "", text)
+    if kind == "mail":
+        return letters(text.split("@")[0]) + "@" + text.split("@")[1]
+    if kind == "key":
+        return "AKIA" + letters(text[4:])
+    if kind == "secret":
+        name = re.match(r'[A-Za-z_]+ ?[=:] ?"?', text)[0]
+        return name + letters(text[len(name) :])
+    if kind == "date":
+        format_ = "%Y-%m-%d" if "-" in text else "%d.%m.%Y" if "." in text else "%m/%d/%Y" if brute_day(text, "%m/%d/%Y") else "%d/%m/%Y"
+        n = brute_day(text, format_).toordinal() - 1
+        while True:
+            n = number(n, *pii.SIDES)
+            day = dt.date.fromordinal(n + 1)
+            if format_ != "%d/%m/%Y" or day.day > 12:
+                return {"-": f"{day.year:04}-{day.month:02}-{day.day:02}", ".": f"{day.day:02}.{day.month:02}.{day.year:04}", "m": f"{day.month:02}/{day.day:02}/{day.year:04}", "d": f"{day.day:02}/{day.month:02}/{day.year:04}"}["-" if "-" in text else "." if "." in text else "m" if format_ == "%m/%d/%Y" else "d"]
+    if kind == "ip":
+        n = 0
+        for x in text.split("."):
+            n = n * 256 + int(x)
+        n = number(n, 65536, 65536)
+        return ".".join(str(n >> x & 255) for x in (24, 16, 8, 0))
+    if kind == "ssn":
+        a, g, s = map(int, text.split("-"))
+        n = number(((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + s - 1, 898 * 99, 9999)
+        a = n // 9999 // 99
+        return f"{a + 1 + (a >= 665):03}-{n // 9999 % 99 + 1:02}-{n % 9999 + 1:04}"
+    if kind == "card":
+        body = letters(digits[:-1])
+        return fill(text, body + next(c for c in "0123456789" if luhn(body + c)))
+    if kind == "phone":
+        lead = re.match(r"(\+[0-9]{1,3}(?=[^0-9])|\+)?", text)[0]
+        return lead + fill(text[len(lead) :], letters(re.sub("[^0-9]", "", text[len(lead) :])))
+    return text
+
+
+DATES = "1885-03-04 2120-01-01 0001-01-01 9999-12-31 31/12/1985 12/31/1985 05/06/0900 13/01/2024 29.02.1600 29.02.1900 2023-02-29 0000-01-01 31/04/2001 29/02/2024"
+CREDENTIALS = 'TOKEN = "Ab3dE5fGh7" Password: hunter2hunter2 Api_Key=q1w2e3r4t5 my_token=notthisone1 378282246310005 3782 822463 10005 3782-822463-10005'
+
+
+def test_pii_against_brute_force(spark, docs):
+    """Every document, searched and permuted by plain Python code."""
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    rows += [(-1, PRIVATE), (-2, CLEAN), (-3, None), (-4, DATES), (-5, CREDENTIALS), (-6, f"{DATES}\n{CREDENTIALS} {DATES}"), (-7, "x" * 50_000 + " 1999-01-02 " + "1" * 9000)]
+    got = {r["doc_id"]: r for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), key="k1", counts=True).collect()}
+    pattern, changed = re.compile(pii.PATTERN, re.A), 0
+    for doc, text in rows:
+        found = [m[0] for m in pattern.finditer(text or "")]
+        want = text if text is None else pattern.sub(lambda m: brute_pseudonym(m[0], "k1"), text)
+        assert got[doc]["text"] == want, doc
+        assert got[doc]["n_private"] == sum(brute_pseudonym(x, "k1") != x for x in found)
+        changed += got[doc]["n_private"]
+    assert changed > 60 and got[-4]["n_private"] == 10 and got[-5]["n_private"] == 6
+    for gone in ("1885-03-04", "2120-01-01", "31/12/1985", "13/01/2024", "Ab3dE5fGh7", "hunter2", "822463"):
+        assert gone not in got[-4]["text"] + got[-5]["text"]
+    for stays in ("29.02.1900", "2023-02-29", "0000-01-01", "31/04/2001"):
+        assert stays in got[-4]["text"]
 
 
 def test_pii_permutes(spark):
     """Different values stay different, and every number in range comes out."""
-    n = spark.range(2500).select(pii.permute_number(F.col("id"), 50, F.lit("k")).alias("x"))
-    assert sorted(r["x"] for r in n.collect()) == list(range(2500))
+    n = spark.range(2520).select(pii.permute_number(F.col("id"), (42, 60), F.lit("k")).alias("x"))
+    assert sorted(r["x"] for r in n.collect()) == list(range(2520))
     text = spark.range(1000).select(pii.permute_text(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("k")).alias("x"))
     assert len({r["x"] for r in text.collect()}) == 1000
-    days = spark.range(0, 70_000, 700).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
-    made = [r["x"] for r in days.select(pii.pseudonym(F.col("d")).alias("x")).collect()]
-    assert len(set(made)) == 100 and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", x) for x in made)
-    ssn = spark.range(100, 300).select(pii.pseudonym(F.format_string("%03d-45-6789", F.col("id"))).alias("x"))
-    found = [r["x"] for r in ssn.collect()]
+    assert pii.SIDES[0] * pii.SIDES[1] == brute_day("9999-12-31", "%Y-%m-%d").toordinal()
+    made = lambda text, n: [r["x"] for r in n.select(pii.pseudonym(text, pii.kind_of(text), "k").alias("x")).collect()]
+    day = F.date_add(F.lit("0001-01-01").cast("date"), F.col("id").cast("int"))
+    found = made(F.date_format(day, "yyyy-MM-dd"), spark.range(0, 3_652_059, 1217))
+    assert len(set(found)) == 3001 and all(brute_day(x, "%Y-%m-%d") for x in found)
+    late = spark.range(0, 3_652_059, 607).filter(F.day(day) > 12)
+    found = made(F.date_format(day, "dd/MM/yyyy"), late)
+    assert len(set(found)) == late.count() and all(int(x[:2]) > 12 and brute_day(x, "%d/%m/%Y") for x in found)
+    found = made(F.format_string("%03d-45-6789", F.col("id")), spark.range(100, 300))
     assert len(set(found)) == 200 and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in found)
+    few, many = (spark.range(5).select(pii.pseudonym(F.format_string("1%02d-45-6789", F.col("id")), F.lit("ssn"), "k", n).alias("x")).collect() for n in (2, 6))
+    assert few != many
 
 
 def test_pii_awkward(spark, awkward, nothing):
