@@ -28,6 +28,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The most rows of repeated payloads that are broadcast; more are joined by shuffle.
 MAX_BROADCAST = 100_000
+#: The most tasks that read archives; each then reads several, one after the other.
+MAX_TASKS = 20_000
 
 
 def record_id(page_id: int | None, payload_digest: str) -> str:
@@ -94,17 +96,17 @@ def records(page_id: int | None, url: str | None, payload: bytes, head: int | No
     return out
 
 
-def write_archives(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payload_col="html", segment=SEGMENT, archive=ARCHIVE) -> int:
+def write_archives(pages: DataFrame, folder: str, id_col="page_id", url_col="url", payload_col="html", segment=SEGMENT, archive=ARCHIVE) -> DataFrame:
     """Writes a record for every row of pages into archives in folder, a URI that
-    driver and executors share; returns the number of archives.
+    driver and executors share; returns a row (path) for each archive.
 
     Of rows with equal payloads that with the largest id is the response, the
     others revisit it; a row with a null id revisits too if some id is known. Null
     payloads are empty. Only the payloads that occur twice or more are joined to
-    the pages, by broadcast if they are few, so payloads are not shuffled. Each
-    task writes its archives under a name of its attempt and renames them at the
-    end: a task that runs again puts the same file in the same place. No rows
-    write nothing."""
+    the pages, by broadcast if they are few, so payloads are not shuffled. Archives
+    are named by the attempt that writes them, and the paths returned are those of
+    the attempts that Spark committed (a table beside the folder): what a lost or
+    repeated attempt leaves is never read. No rows write nothing."""
     x = pages.select(col(pages, id_col).cast("long").alias("id"), col(pages, url_col).alias("url"), F.encode(F.coalesce(col(pages, payload_col), F.lit("")), "UTF-8").alias("payload"))
     key = F.sha1("payload").alias("key")
     repeated = cut(x.select("id", key).groupBy("key").agg(F.max("id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n"))
@@ -119,13 +121,11 @@ def write_archives(pages: DataFrame, folder: str, id_col="page_id", url_col="url
         def flush():
             nonlocal held, size
             if held:
-                name = f"{root}/part-{context.partitionId():06d}-{len(made):05d}.warc.gz"
-                part = f"{root}/_writing-{context.taskAttemptId()}-{len(made)}"
-                with files.open_output_stream(part, compression=None) as out:
+                name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{len(made):05d}.warc.gz"
+                with files.open_output_stream(f"{root}/{name}", compression=None) as out:
                     for r in held:
                         out.write(r)
-                files.move(part, name)
-                made.append(name)
+                made.append(f"{folder}/{name}")
                 held, size = [], 0
 
         for b in batches:
@@ -136,22 +136,27 @@ def write_archives(pages: DataFrame, folder: str, id_col="page_id", url_col="url
                     if size >= archive:
                         flush()
         flush()
-        yield pa.RecordBatch.from_arrays([pa.array([len(made)], pa.int64())], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["path"])
 
     files, root = pafs.FileSystem.from_uri(folder)
     files.create_dir(root, recursive=True)
-    return x.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    x.mapInArrow(run, "path string").write.parquet(f"{folder}-committed")
+    return pages.sparkSession.read.schema("path string").parquet(f"{folder}-committed")
 
 
-def parse(data: bytes):
+def parse(file, block: int = 1 << 15):
     """(headers with lower-case names, block) of each record of an archive of gzip
-    members. What is cut short is an error."""
-    while data:
-        member = zlib.decompressobj(31)
-        raw = member.decompress(data)
-        if not member.eof:
-            raise ValueError("archive is cut short")
-        data, at = member.unused_data, 0
+    members, a file that is read `block` bytes at a time: a record is held, never the
+    archive. What is cut short is an error."""
+    waiting = b""
+    while waiting or (waiting := file.read(block)):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:
+            parts.append(member.decompress(waiting))
+            waiting = member.unused_data
+            if not member.eof and not (waiting := file.read(block)):
+                raise ValueError("archive is cut short")
+        raw, at = b"".join(parts), 0
         while raw.startswith(b"WARC/", at):
             end = raw.index(b"\r\n\r\n", at)
             lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
@@ -185,17 +190,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _kinds())], names)
 
 
-def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """One row for each response and revisit in folder's *.warc.gz: record_id,
-    record_type, refers_to, payload_digest, payload_bytes, verified, payload.
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """A row (path) for each *.warc.gz of a folder that others have written."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+
+
+def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
+    """One row for each response and revisit in the archives (a column path):
+    record_id, record_type, refers_to, payload_digest, payload_bytes, verified, payload.
 
     Segments are grouped by their origin and put in order of number; numbers that
-    are missing, a total length that differs, broken framing or another digest
-    than declared give verified = false, and no payload. A revisit's digest and
-    length are as its record declares them. Records of other types are passed
-    over. Records that share an id are copies and give a row each. A record's
-    segments meet in one task, and those alone; no archive is held by more than
-    the task that reads it."""
+    are missing, a total length that differs, copies of a segment that differ, broken
+    framing or another digest than declared give verified = false, and no payload. A
+    revisit's digest and length are as its record declares them; it is verified if
+    the response that it refers to is there, is verified and has just these. Records
+    of other types are passed over. Records that share an id are copies and give a
+    row each, but copies of a segment are counted before they are shuffled, and one
+    of each meets in the task that joins them. An archive is read as a stream."""
 
     def decoded(name, kind, refers, declared, block):
         try:
@@ -210,21 +221,23 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
 
     def run(batches):
         for b in batches:
-            for content in b.column(0):
+            for path in b.column(0).to_pylist():
+                files, root = pafs.FileSystem.from_uri(path if "://" in path else path.replace(":/", ":///", 1))
                 rows, size = [], 0
-                for h, block in parse(content.as_py()):
-                    kind, number = h.get("warc-type"), h.get("warc-segment-number")
-                    declared = h.get("warc-payload-digest", "").rpartition(":")[2] or None
-                    if kind in ("response", "revisit") and number is None:
-                        rows.append(decoded(h["warc-record-id"], kind, h.get("warc-refers-to"), declared, block))
-                    elif kind in ("response", "continuation"):
-                        total = h.get("warc-segment-total-length")
-                        rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), kind, None, declared, None, None, None, int(number or 0), total and int(total), block))
-                        size += len(block)
-                    size += len(rows[-1][6] or b"") if rows else 0
-                    if size > 1 << 23:
-                        yield _batch(rows)
-                        rows, size = [], 0
+                with files.open_input_stream(root, compression=None) as file:
+                    for h, block in parse(file):
+                        kind, number = h.get("warc-type"), h.get("warc-segment-number")
+                        declared = h.get("warc-payload-digest", "").rpartition(":")[2] or None
+                        if kind in ("response", "revisit") and number is None:
+                            rows.append(decoded(h["warc-record-id"], kind, h.get("warc-refers-to"), declared, block))
+                        elif kind in ("response", "continuation"):
+                            total = h.get("warc-segment-total-length")
+                            rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), kind, None, declared, None, None, None, int(number or 0), total and int(total), block))
+                            size += len(block)
+                        size += len(rows[-1][6] or b"") if rows else 0
+                        if size > 1 << 23 or len(rows) > 10_000:
+                            yield _batch(rows)
+                            rows, size = [], 0
                 yield _batch(rows)
 
     def join(batches):
@@ -232,38 +245,44 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
             rows, size = [], 0
             for k in range(b.num_rows):
                 r = b.slice(k, 1).to_pylist()[0]
+                numbers, totals = [p["segment"] for p in r["parts"]], {p["total"] for p in r["parts"]} - {None}
+                block = b"".join(p["block"] for p in sorted(r["parts"], key=lambda p: p["segment"]))
+                whole = sorted(numbers) == [*range(1, len(numbers) + 1)] and totals == {len(block)} and {p["copies"] for p in r["parts"]} == {r["copies"]}
+                row = decoded(r["record_id"], "response", None, r["declared"], block) if whole else (r["record_id"], "response", None, r["declared"], None, False, *[None] * 4)
                 copies = max(1, r["copies"])
-                if not r["cut"]:
-                    row = r["record_id"], r["record_type"], r["refers_to"], r["declared"], r["payload_bytes"], r["verified"], r["payload"], None, None, None
-                else:
-                    blocks = {p["segment"]: p["block"] for p in r["parts"]}
-                    totals = {p["total"] for p in r["parts"]} - {None}
-                    block = b"".join(v for _, v in sorted(blocks.items()))
-                    whole = sorted(blocks) == [*range(1, len(blocks) + 1)] and totals == {len(block)} and len(r["parts"]) == copies * len(blocks)
-                    row = decoded(r["record_id"], "response", None, r["declared"], block) if whole else (r["record_id"], "response", None, r["declared"], None, False, *[None] * 4)
-                rows += [row] * copies
-                size += len(row[6] or b"") * copies + 500
-                if size > 1 << 23:
-                    yield _batch(rows)
-                    rows, size = [], 0
+                for _ in range(copies):
+                    rows.append(row)
+                    size += len(row[6] or b"") + 500
+                    if size > 1 << 23:
+                        yield _batch(rows)
+                        rows, size = [], 0
             yield _batch(rows)
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(run, PARSED)
-    part = F.struct("segment", "total", "block")
-    by_id = found.groupBy("record_id", F.col("segment").isNotNull().alias("cut")).agg(
-        F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"), F.max("payload_digest").alias("declared"), F.first("payload_bytes").alias("payload_bytes"), F.min("verified").alias("verified"),
-        F.first("payload").alias("payload"), F.sort_array(F.collect_list(F.when(F.col("segment").isNotNull(), part))).alias("parts"), F.sum(F.when(F.coalesce("segment", F.lit(1)) == 1, 1).otherwise(0)).alias("copies"),
-    )
-    by_id = by_id.withColumn("copies", F.col("copies").cast("int"))
-    return by_id.mapInArrow(join, PARSED).drop("segment", "total", "block")
+    # An archive a task, up to MAX_TASKS.
+    found = cut(archives.select("path").repartition(min(MAX_TASKS, max(1, archives.count()))).mapInArrow(run, PARSED))
+    plain = found.filter("segment IS NULL").drop("segment", "total", "block")
+    parts = found.filter("segment IS NOT NULL").groupBy("record_id", "segment", "total", "block").agg(F.max("payload_digest").alias("declared"), F.count("*").alias("copies"))
+    first = F.max(F.when(F.col("segment") == 1, F.col("copies"))).cast("int")
+    by_id = parts.groupBy("record_id").agg(F.max("declared").alias("declared"), F.collect_list(F.struct("segment", "total", "block", F.col("copies").cast("int").alias("copies"))).alias("parts"), F.coalesce(first, F.lit(0)).alias("copies"))
+    joined = lambda some: some.mapInArrow(join, PARSED).drop("segment", "total", "block")
+
+    # What revisits refer to: each record once, with what a revisit must agree with.
+    facts = F.struct("payload_digest", "payload_bytes", "verified")
+    wanted = cut(plain.filter("refers_to IS NOT NULL").groupBy(F.col("refers_to").alias("record_id")).agg(F.count("*").alias("n")))
+    heads = plain.filter("record_type = 'response'").join(wanted, "record_id", "left_semi").unionByName(joined(by_id.join(wanted, "record_id", "left_semi")))
+    heads = cut(heads.groupBy("record_id").agg(F.min(facts).alias("facts")))
+    heads = F.broadcast(heads) if heads.count() <= MAX_BROADCAST else heads
+    rows = plain.unionByName(joined(by_id)).join(heads.withColumnRenamed("record_id", "head"), F.col("refers_to") == F.col("head"), "left")
+    agrees = (F.col("facts.payload_digest").eqNullSafe(F.col("payload_digest"))) & F.col("facts.payload_bytes").eqNullSafe(F.col("payload_bytes")) & F.col("facts.verified")
+    sound = F.when(F.col("record_type") == "revisit", F.col("verified") & F.coalesce(agrees, F.lit(False))).otherwise(F.col("verified"))
+    return rows.select("record_id", "record_type", "refers_to", "payload_digest", "payload_bytes", sound.alias("verified"), "payload")
 
 
 def reread(pages: DataFrame, folder: str | None = None, **how) -> DataFrame:
     """Pages through archives and back: page_id, payload_bytes, payload_digest,
     record_type, refers_to (the response's page_id), verified."""
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, folder, **how)
-    x = read_archives(pages.sparkSession, folder, with_payload=False)
+    x = read_archives(write_archives(pages, folder, **how), with_payload=False)
     return x.select(_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page("refers_to").alias("refers_to"), "verified")
 
 

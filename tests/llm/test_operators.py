@@ -102,15 +102,100 @@ def test_warc_round_trip(spark):
 def test_warc_payloads_and_broken_segments(spark, tmp_path):
     body = "ä" * 50_000
     frame = spark.createDataFrame([(1, "http://a", body)], "page_id long, url string, html string")
-    warc.write_archives(frame, f"file://{tmp_path}/ok", archive=1)
-    assert len(list((tmp_path / "ok").glob("*.warc.gz"))) > 5
-    got = warc.read_archives(spark, f"file://{tmp_path}/ok").collect()
-    assert [bytes(r["payload"]).decode() for r in got] == [body]
-    (tmp_path / "ok" / "part-000000-00001.warc.gz").unlink() if (tmp_path / "ok" / "part-000000-00001.warc.gz").exists() else sorted((tmp_path / "ok").glob("*.warc.gz"))[1].unlink()
-    got = warc.read_archives(spark, f"file://{tmp_path}/ok").collect()
+    made = warc.write_archives(frame, f"file://{tmp_path}/ok", archive=1)
+    assert made.count() == len(list((tmp_path / "ok").glob("*.warc.gz"))) > 5
+    for archives in (made, warc.listed(spark, f"file://{tmp_path}/ok")):
+        assert [bytes(r["payload"]).decode() for r in warc.read_archives(archives).collect()] == [body]
+    sorted((tmp_path / "ok").glob("*.warc.gz"))[1].unlink()
+    got = warc.read_archives(warc.listed(spark, f"file://{tmp_path}/ok")).collect()
     assert [(r["verified"], r["payload"]) for r in got] == [(False, None)]
 
 
+def test_warc_copies_of_segments(spark, tmp_path):
+    """Many rows with one id, or none, and one long payload: a row each."""
+    body = "ö" * 40_000
+    rows = [(5, None, body)] * 30 + [(None, None, "x" * 70_000)] * 20 + [(6, None, body)] * 3
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = Counter(tuple(r) for r in warc.reread(frame).drop("payload_digest").collect())
+    assert got == Counter({(5, 80_000, "revisit", 6, True): 30, (6, 80_000, "response", None, True): 3, (None, 70_000, "response", None, True): 20})
+    # A copy whose segment differs.
+    warc.write_archives(frame.filter("page_id = 5").limit(1), f"file://{tmp_path}/a", archive=1)
+    records = [list(warc.parse(open(f, "rb")))[0] for f in sorted((tmp_path / "a").glob("*.gz"))]
+    with open(tmp_path / "a" / "more.warc.gz", "wb") as f:
+        for k, (h, block) in enumerate(records):
+            head = {"WARC-Type": h["warc-type"], "WARC-Record-ID": h["warc-record-id"], **{n: h[n.lower()] for n in ("WARC-Segment-Number", "WARC-Segment-Origin-ID", "WARC-Segment-Total-Length", "WARC-Payload-Digest") if n.lower() in h}}
+            f.write(warc.record(head, block if k != 1 else block[:-1] + b"!"))
+    got = warc.read_archives(warc.listed(spark, f"file://{tmp_path}/a")).collect()
+    assert {r["verified"] for r in got} == {False}
+
+
+def test_warc_revisits_are_resolved(spark, tmp_path):
+    one, two = (warc.digest(x) for x in (b"one", b"two"))
+    with open(tmp_path / "x.warc.gz", "wb") as f:
+        http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+        f.write(warc.record({"WARC-Type": "warcinfo", "WARC-Record-ID": "<i>"}, b"software: x\r\n"))
+        f.write(warc.record({"WARC-Type": "response", "WARC-Record-ID": "<a>", "WARC-Payload-Digest": f"sha1:{one}"}, http + warc.chunked(b"one")))
+        f.write(warc.record({"WARC-Type": "response", "WARC-Record-ID": "<b>", "WARC-Payload-Digest": f"sha1:{one}"}, http + warc.chunked(b"two")))
+        for k, (to, payload, n) in enumerate([("<a>", one, 3), ("<a>", two, 3), ("<a>", one, 4), ("<b>", one, 3), ("<c>", one, 3)]):
+            f.write(warc.record({"WARC-Type": "revisit", "WARC-Record-ID": f"<r{k}>", "WARC-Refers-To": to, "WARC-Payload-Digest": f"sha1:{payload}"}, b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % n))
+    got = {r["record_id"]: r["verified"] for r in warc.read_archives(warc.listed(spark, f"file://{tmp_path}")).collect()}
+    assert got == {"<a>": True, "<b>": False, "<r0>": True, "<r1>": False, "<r2>": False, "<r3>": False, "<r4>": False}
+
+
+def test_warc_parses_in_linear_time(tmp_path):
+    """Twice the archive takes about twice as long, and 30 MB a few seconds at most."""
+    import time
+
+    rng = random.Random(1)
+    one = warc.record({"WARC-Type": "response", "WARC-Record-ID": "<a>"}, rng.randbytes(9_000))
+    took = []
+    for n in (1_600, 3_200):
+        (tmp_path / "x").write_bytes(one * n)
+        began = time.process_time()
+        with open(tmp_path / "x", "rb") as f:
+            assert sum(1 for _ in warc.parse(f)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 4 * took[0] + 0.5 and took[1] < 5, took
+    with open(tmp_path / "y", "wb") as f:
+        f.write(one[:-5])
+    with pytest.raises(ValueError):
+        list(warc.parse(open(tmp_path / "y", "rb")))
+
+
+def test_warc_ignores_what_failed_attempts_left():
+    """The first attempt of a task writes archives, then fails; the second writes again."""
+    import subprocess
+    import sys
+    import tempfile
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[2]
+    script = f"""
+import sys, tempfile, glob, time
+sys.path.insert(0, {str(repo)!r})
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+work = tempfile.mkdtemp()
+s = SparkSession.builder.master("local[2,3]").config(map={{"spark.checkpoint.dir": "file://" + work + "/c", "spark.sql.warehouse.dir": work + "/w", "spark.ui.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "10"}}).getOrCreate()
+s.sparkContext.setLogLevel("OFF")
+from evenbag.llm import warc
+def flaky(batches):
+    for b in batches:
+        yield b
+    if TaskContext.get().attemptNumber() == 0 and TaskContext.get().partitionId() == 1:
+        time.sleep(3)
+        raise RuntimeError("lost")
+pages = s.range(400).selectExpr("id page_id", "'u' url", "repeat(cast(id as string), 2000) html").repartition(2)
+made = warc.write_archives(pages.filter("page_id >= 0").mapInArrow(flaky, pages.schema), "file://" + work + "/a", archive=2000)
+assert made.count() < len(glob.glob(work + "/a/*.warc.gz")), (made.count(), len(glob.glob(work + "/a/*.warc.gz")))
+got = warc.read_archives(made, with_payload=False)
+assert got.count() == 400 and got.filter("verified").select("record_id").distinct().count() == 400
+print("fine")
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, cwd=tempfile.mkdtemp())
+    assert "fine" in done.stdout, done.stderr[-3000:]
+
+
 def test_chunked_framing():
     for body in (b"", b"x", b"ab" * 9000):
         assert warc.unchunked(warc.chunked(body)) == body
