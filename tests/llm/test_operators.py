@@ -811,20 +811,47 @@ def test_pivot_dedup_against_brute_force(spark):
     assert pivots.near_duplicates(frame.filter("1 = 0")).count() == 0
 
 
-def test_pivot_recall(spark):
-    """Links just above the threshold, among strangers."""
+@pytest.mark.parametrize("shared", [2, 3, 4])
+def test_pivot_recall(spark, shared):
+    """Links just above the threshold, among strangers and in a dense group, whose
+    members all lie about as far apart."""
     rng = np.random.default_rng(9)
     rows = []
+
+    def put(x, group, at):
+        rows.append((len(rows), x.tolist(), group))
+
     for k in range(1500):
         x = rng.standard_normal(64)
+        x /= np.linalg.norm(x)
+        y = rng.standard_normal(64)
+        y -= (y @ x) * x
+        c = rng.uniform(0.93, 0.94)
+        put(x, 0, k)
+        put(c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y), 0, k)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    for k in range(300):
         y = rng.standard_normal(64)
-        y -= (y @ x) / (x @ x) * x
-        c = rng.uniform(0.931, 0.96)
-        rows += [(2 * k, x.tolist(), 0), (2 * k + 1, (c * x / np.linalg.norm(x) + np.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist(), 0)]
-    _, links = pivots.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
-    found = {tuple(r) for r in links.collect()}
-    want = {(2 * k, 2 * k + 1) for k in range(1500)}
-    assert found <= want and len(found) >= 0.9 * len(want), len(found)
+        y -= (y @ centre) * centre
+        put(np.sqrt(0.935) * centre + np.sqrt(0.065) * y / np.linalg.norm(y), 0, k)
+    _, links = pivots.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shared=shared)
+    found = [tuple(r) for r in links.collect()]
+    e = np.array([r[1] for r in rows])
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    c = e @ e.T
+    want = {(int(u), int(v)) for u, v in zip(*np.nonzero(c >= pivots.MIN_COSINE)) if u < v}
+    assert len(found) == len(set(found)) and set(found) <= want
+    for group in (lambda u: u < 3000, lambda u: u >= 3000):
+        some = {p for p in want if group(p[0])}
+        assert len(some) > 1400 and len(some & set(found)) >= 0.9 * len(some), (shared, len(some & set(found)) / len(some))
+
+
+def test_shared_pivots_grow_with_the_table():
+    """However many vectors, each is expected to meet a bounded number of strangers,
+    and no more need be shared than must."""
+    needs = [pivots.enough_shared(n, min(pivots.MAX_PIVOTS, max(pivots.MIN_PIVOTS, int(4 * n**0.5))), pivots.NEAREST, pivots.SHARED) for n in (100, 10**4, 10**6, 10**7, 10**9)]
+    assert needs == [2, 2, 2, 3, 4]
 
 
 @pytest.mark.parametrize("block", [7, pivots.BLOCK])
@@ -840,7 +867,7 @@ def test_pivots_too_few_for_an_index(spark, monkeypatch, block):
     rows += [(200 + k, (common + rng.standard_normal(24) * 0.07).tolist(), "ab"[k % 2]) for k in range(80)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
     classes, links = pivots.near_links(frame)
-    assert {len(p) < pivots.MIN_PIVOTS for p in pivots.choose_pivots(classes, None, pivots.SEED).values()} == {True}
+    assert {len(p) < pivots.MIN_PIVOTS for p in pivots.choose_pivots(classes, None, pivots.SEED)[0].values()} == {True}
     want = Counter((min(e), max(e)) for e in brute_links(rows))
     # Of the last group some pairs are near, most are not.
     assert (0, 1) in want and 0 < sum(u >= 200 for u, _ in want) < 1000
