@@ -25,6 +25,8 @@ LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 GROUP_TOKENS = 1 << 20
 #: Words whose ids a worker remembers.
 KNOWN_WORDS = 150_000
+#: Texts on which a tokenizer must show that words may be encoded one by one.
+PROBES = ["The quick, Brown fox. JUMPS over", "\u00c9cole \u00dcber na\u00efve gar\u00e7on, \u00df. \u00ff", " a  b   c ", "x\ny\n\nz \n w", "don't it's 'll 12345 a1b2 3.14, (x) [y] {z} a-b a_b", "caf\u00e9. na\u00efve, \u65e5\u672c\u8a9e \u0440\u0443\u0441 \U0001f600 \t end"]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
@@ -43,12 +45,13 @@ def _kept(path: str) -> WordIds:
 
 
 class WordIds:
-    """Token ids of texts, by a tokenizer that never joins or looks across a space
-    or newline: of a lot of texts, each different word is encoded once.
+    """Token ids of texts. If the tokenizer, on PROBES at least, never joins or looks
+    across a space or newline, each different word of a lot of texts is encoded once;
+    else texts are encoded whole.
 
-    Words of Latin letters, with a full stop or comma at most, go to the
-    tokenizer's model at once, in lower case and as its byte letters, as its
-    normalizer and splitter would hand them on, and are remembered; others go
+    Words of Latin letters, with a full stop or comma at most, go to the tokenizer's
+    model at once, in lower case and as its byte letters, as its normalizer and
+    splitter would hand them on (this too is probed), and are remembered; others go
     through the whole of it."""
 
     def __init__(self, path: str, known: int = KNOWN_WORDS):
@@ -56,15 +59,27 @@ class WordIds:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole, self.known, self.cores = Tokenizer.from_file(path), known, {"": b""}
-        self.model, self.bytes = self.whole.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.tails = {"": b""} | {c: array("i", self.whole.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
-        self.simple = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+        self.model, letters = self.whole.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.tails = {"": b""} | {c: array("i", self._ids(c)).tobytes() for c in ".,"}
+        self.by_word, self.simple = True, re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)").fullmatch
+        if not self._probed():
+            self.simple = lambda word: None
+            self.by_word = self._probed()
+        self.cores = {"": b""}
+
+    def _ids(self, text: str | None) -> list[int]:
+        return self.whole.encode(text or "", add_special_tokens=False).ids
+
+    def _probed(self) -> bool:
+        self.cores = {"": b""}
+        return all(list(got) == self._ids(t) for t, got in zip(PROBES, self(pa.array(PROBES))))
 
     def _simple(self, core: str, tail: str) -> bytes:
         letters = core.lower()
         ids = self.cores.get(letters)
         if ids is None:
-            raw = letters if letters.isascii() else self.bytes.pre_tokenize_str(letters)[0][0]
+            raw = letters if letters.isascii() else letters.translate(self.bytes)
             ids = self.cores[letters] = array("i", [t.id for t in self.model.tokenize(raw)]).tobytes()
         return ids + self.tails[tail]
 
@@ -94,6 +109,8 @@ class WordIds:
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; none for null."""
+        if not self.by_word:
+            return [np.array(self._ids(t), np.int32) for t in texts.to_pylist()]
         words = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
         flat, length = self._encode(coded.dictionary.to_numpy(zero_copy_only=False))

@@ -500,6 +500,17 @@ def test_word_ids_are_the_tokenizers():
         assert w.whole.encode(text or "", add_special_tokens=False).ids == list(ids), text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_word_ids_of_any_tokenizer(name):
+    """One that looks across spaces must give its own ids too."""
+    import public_tokenizers
+
+    w = packing.WordIds(public_tokenizers.path(name))
+    texts = ["The Quick brown  fox, jumps.", " leading and trailing ", "a\n\nb École naïve", "don't 12345", ""]
+    assert [list(x) for x in w(pa.array(texts))] == [w.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert w.by_word == (name == "word_bpe_49k.json")
+
+
 def test_pack_balances_cost():
     rng = random.Random(2)
     lengths = [rng.choice([rng.randint(1, 300), rng.randint(300, 9000)]) for _ in range(400)]
