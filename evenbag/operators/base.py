@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,3 +48,25 @@ def like(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def empty_of(df: DataFrame) -> DataFrame:
     return df.filter(F.lit(1) == F.lit(0))
+
+
+def unique(df: DataFrame, key: str, nulls: bool = False) -> DataFrame:
+    """df, if no value of key stands twice; nulls are allowed only if asked for."""
+    twice = F.col("count") > 1
+    bad = df.groupBy(key).count().filter(twice & F.col(key).isNotNull() if nulls else twice | F.col(key).isNull())
+    if bad.limit(1).count():
+        raise ValueError(f"{key} is not unique")
+    return df
+
+
+def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with a long column `name`: 0, 1, 2 ... by the given order, ties as they come.
+    Rows are dealt by range and written, then numbered within each partition; only the
+    partitions' counts meet in one window."""
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("dealt_to", F.spark_partition_id()))
+    counts = dealt.groupBy("dealt_to").agg(F.count("*").alias("rows_before"))
+    before = Window.orderBy("dealt_to").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("dealt_to", F.coalesce(F.sum("rows_before").over(before), F.lit(0)).alias("rows_before"))
+    inside = Window.partitionBy("dealt_to").orderBy(*order)
+    numbered = dealt.withColumn("row_inside", F.row_number().over(inside) - 1)
+    return numbered.join(F.broadcast(offsets), "dealt_to").withColumn(name, F.col("rows_before") + F.col("row_inside")).drop("dealt_to", "rows_before", "row_inside")

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenbag.plans.barriers import checkpointed, written
+from evenbag.plans.barriers import checkpointed, fresh_name, fresh_path, named, written
 
-from .base import like
+from .base import like, unique
 
 
 def _each(df: DataFrame, fn, kinds: tuple | None = None) -> DataFrame:
@@ -52,12 +52,19 @@ def mixed_codec(df: DataFrame, seed: int = 0) -> DataFrame:
     return _each(df, lambda c: rng.choice((hex_value, json_value))(c), (T.StringType,))
 
 
+def _packed(df: DataFrame, pack, unpack) -> DataFrame:
+    """Each column packed and written, read and unpacked: between the two there is a
+    barrier, as the optimizer would undo one by the other."""
+    stored = checkpointed(df.select(*(pack(F.col(c)).alias(c) for c in df.columns)))
+    return stored.select(*(unpack(F.col(f.name)).cast(f.dataType).alias(f.name) for f in df.schema))
+
+
 def array_pack(df: DataFrame) -> DataFrame:
-    return _each(df, lambda c: F.array(c)[0])
+    return _packed(df, F.array, lambda a: a[0])
 
 
 def array_element(df: DataFrame) -> DataFrame:
-    return _each(df, lambda c: F.element_at(F.array(c), 1))
+    return _packed(df, lambda c: F.array(c, c), lambda a: F.element_at(a, -1))
 
 
 def array_transform(df: DataFrame) -> DataFrame:
@@ -69,11 +76,11 @@ def array_filter(df: DataFrame) -> DataFrame:
 
 
 def map_pack(df: DataFrame) -> DataFrame:
-    return _each(df, lambda c: F.create_map(F.lit("k"), c)["k"])
+    return _packed(df, lambda c: F.create_map(F.lit("k"), c), lambda m: m["k"])
 
 
 def tuple_element(df: DataFrame) -> DataFrame:
-    return _each(df, lambda c: F.struct(c.alias("a"))["a"])
+    return _packed(df, lambda c: F.struct(F.lit(0).alias("a"), c.alias("b")), lambda t: t["b"])
 
 
 def coalesce_self(df: DataFrame) -> DataFrame:
@@ -81,8 +88,8 @@ def coalesce_self(df: DataFrame) -> DataFrame:
 
 
 def struct_pack(df: DataFrame) -> DataFrame:
-    """The whole row as a struct and out again."""
-    return df.select(F.struct(*df.columns).alias("s")).select("s.*")
+    """The whole row as a struct, written, and out again."""
+    return checkpointed(df.select(F.struct(*df.columns).alias("s"))).select("s.*")
 
 
 def object_column(df: DataFrame) -> DataFrame:
@@ -106,7 +113,7 @@ def pivot_struct(df: DataFrame, key: str) -> DataFrame:
     """All but the key packed in a struct, pivoted on a constant, and unpacked. The
     key must be unique and not null."""
     rest = [c for c in df.columns if c != key]
-    packed = df.select(key, F.struct(*rest).alias("v"), F.lit("x").alias("k"))
+    packed = unique(df, key).select(key, F.struct(*rest).alias("v"), F.lit("x").alias("k"))
     wide = packed.groupBy(key).pivot("k", ["x"]).agg(F.first("v"))
     return wide.select(*(F.col(c) if c == key else F.col(f"x.{c}").alias(c) for c in df.columns))
 
@@ -142,10 +149,8 @@ def written_extra_column(df: DataFrame) -> DataFrame:
 
 def typed_insert(df: DataFrame) -> DataFrame:
     """A table of declared types, filled by INSERT ... SELECT."""
-    from evenbag.plans.barriers import fresh_name, shared_dir
-
-    spark, name = df.sparkSession, fresh_name("typed")
+    spark, name = df.sparkSession, named("TABLE", fresh_name("typed"))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{shared_dir(spark)}/{name}'")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{fresh_path(spark, name)}'")
     spark.sql(f"INSERT INTO {name} SELECT * FROM {{t}}", t=df)
     return like(spark.table(name), df.schema)

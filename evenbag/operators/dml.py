@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenbag.plans.barriers import written
 
-from .base import fallback_predicate, parity_key
+from .base import fallback_predicate, parity_key, unique
 
 
 def default_predicate(df: DataFrame) -> Column:
@@ -34,8 +34,9 @@ def noop_update(df: DataFrame, predicate: Column | None = None) -> DataFrame:
 
 def merge_upsert(df: DataFrame, key: str) -> DataFrame:
     """MERGE of a table into itself on a unique key: what matches is updated, a null
-    key matches nothing and is not inserted again."""
-    target = written(df)
+    key matches nothing and is not inserted again. A key that stands twice is an error,
+    as a row would be updated by two."""
+    target = unique(written(df), key, nulls=True)
     source = df.select(F.col(key).alias("source_key"), F.struct(*df.columns).alias("source_row"))
     joined = target.join(source, F.col(key) == F.col("source_key"), "left")
     return joined.select(*(F.when(F.col("source_key").isNotNull(), F.col(f"source_row.{c}")).otherwise(F.col(c)).alias(c) for c in df.columns))

@@ -9,11 +9,15 @@ from evenbag.plans.barriers import checkpointed
 
 from .base import KEY, empty_of, keyed
 
+#: The most rows whose keys a broadcast hint is put on.
+MAX_BROADCAST = 1_000_000
+
 
 def left_join_empty(df: DataFrame) -> DataFrame:
-    """Every left row once. The right side is one unmatched column, so the plan
-    broadcasts nothing."""
-    right = empty_of(df).select(F.col(df.columns[0]).alias("right_side"))
+    """Every left row once. The right side is written, so that the optimizer does not
+    see that it is empty; adaptive execution does, so the join is left only where that
+    is off (see plans.arms)."""
+    right = checkpointed(empty_of(df)).select(F.col(df.columns[0]).alias("right_side"))
     return df.join(right, F.lit(True), "left").select(*df.columns)
 
 
@@ -30,6 +34,8 @@ def semi_join_keys(df: DataFrame) -> DataFrame:
 def flag_join(df: DataFrame, how: str = "inner", hint: str | None = None) -> DataFrame:
     """Rows with a key join (key, flag = 1), of which all have flag = 1."""
     left = keyed(df)
+    if hint == "broadcast" and left.count() > MAX_BROADCAST:
+        raise ValueError(f"more than {MAX_BROADCAST} keys are not broadcast")
     right = left.select(F.col(KEY).alias("flag_key"), F.lit(1).alias("flag"))
     right = right.hint(hint) if hint else right
     return left.join(right, F.col(KEY) == F.col("flag_key"), how).filter("flag = 1").select(*df.columns)
@@ -52,9 +58,14 @@ def cross_join_filter(df: DataFrame) -> DataFrame:
 
 
 def positional_join(df: DataFrame) -> DataFrame:
-    """Two halves of the columns joined by position. Position is the written row
-    key, which has a row's place without a global sort."""
-    return split_join(df, "inner")
+    """The columns in two halves, written apart and joined by position alone: a row's
+    place is its partition and its place in there, which both halves number for
+    themselves, as neither has a column of the other."""
+    if len(df.columns) < 2:
+        return df
+    whole, half = checkpointed(df), len(df.columns) // 2
+    left, right = (checkpointed(whole.select(*some)).withColumn(KEY, F.monotonically_increasing_id()) for some in (df.columns[:half], df.columns[half:]))
+    return left.join(right, KEY).select(*df.columns)
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, values: list[str] | None = None) -> DataFrame:
@@ -76,9 +87,9 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
 
 
 def asof_join_empty(df: DataFrame, on: str, by: list[str]) -> DataFrame:
-    """As-of join with an empty table: every row once."""
+    """As-of join with an empty table: every row once, with nothing found."""
     right = checkpointed(empty_of(df)).select(*by, F.col(on).alias("at"), F.lit(1).alias("v"))
-    return asof_join(checkpointed(df), right, on, "at", by, ["v"]).select(*df.columns)
+    return asof_join(checkpointed(df), right, on, "at", by, ["v"]).filter("asof_v IS NULL").select(*df.columns)
 
 
 def distinct_on(df: DataFrame, key: str, order: Column | None = None) -> DataFrame:

@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenbag.plans.barriers import bucketed, checkpointed, fresh_name, saved, shared_dir, written
+from evenbag.plans.barriers import bucketed, checkpointed, fresh_name, fresh_path, named, saved, written
 
-from .base import empty_of, parity_key
+from .base import empty_of, parity_key, unique
 
 
 def view(df: DataFrame) -> DataFrame:
-    name = fresh_name("v")
+    name = named("VIEW", fresh_name("v"))
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
 
 
 def global_view(df: DataFrame) -> DataFrame:
-    name = fresh_name("g")
+    name = named("GLOBAL VIEW", fresh_name("g"))
     df.createOrReplaceGlobalTempView(name)
     return df.sparkSession.table(f"global_temp.{name}")
 
@@ -43,7 +43,7 @@ def barrier_view(df: DataFrame) -> DataFrame:
 
 def table_function(df: DataFrame) -> DataFrame:
     """The rows of a SQL table function over them."""
-    spark, name, source = df.sparkSession, fresh_name("f"), fresh_name("v")
+    spark, name, source = df.sparkSession, named("TEMPORARY FUNCTION", fresh_name("f")), named("VIEW", fresh_name("v"))
     df.createOrReplaceTempView(source)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     spark.sql(f"CREATE TEMPORARY FUNCTION {name}() RETURNS TABLE({columns}) RETURN SELECT * FROM {source}")
@@ -62,18 +62,15 @@ def hash_buckets(df: DataFrame, by: str | None = None) -> DataFrame:
 
 def unseen_buckets(df: DataFrame) -> DataFrame:
     """Bucketed files read as plain ones."""
-    spark, name = df.sparkSession, fresh_name("plain")
-    path = f"{shared_dir(spark)}/{name}"
+    spark, name = df.sparkSession, named("TABLE", fresh_name("plain"))
+    path = fresh_path(spark, name)
     df.write.format("parquet").option("path", path).bucketBy(8, df.columns[0]).sortBy(df.columns[0]).saveAsTable(name)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def unique_buckets(df: DataFrame, key: str) -> DataFrame:
     """Bucketed by a key that must be unique and not null."""
-    bad = df.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count()
-    if bad:
-        raise ValueError(f"{key} is not unique")
-    return bucketed(df, key)
+    return bucketed(unique(df, key), key)
 
 
 def derived_buckets(df: DataFrame, expression: str) -> DataFrame:
@@ -117,19 +114,32 @@ def sorted_descending(df: DataFrame) -> DataFrame:
 
 
 def covering(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Some columns in a bucketed table of their own, the others joined on a unique
-    key."""
-    narrow = bucketed(df.select(key, *columns), key)
+    """Some columns in a bucketed table of their own, the others joined on the key,
+    which must be unique and not null."""
+    narrow = bucketed(unique(df, key).select(key, *columns), key)
     rest = bucketed(df.drop(*columns), key)
     return rest.join(narrow, key).select(*df.columns)
 
 
+def partial_covering(df: DataFrame, key: str, columns: list[str], where: Column) -> DataFrame:
+    """As covering(), for the rows where `where` is TRUE; the others stay whole."""
+    inside = where.eqNullSafe(True)
+    return covering(df.filter(inside), key, columns).unionByName(written(df.filter(~inside)))
+
+
+def constant_partitions(df: DataFrame) -> DataFrame:
+    """Partitioned by a predicate that all rows meet: one partition has them all, and
+    readers filter by it."""
+    return written(df.withColumn("all_rows", F.lit(1)), partition_by=("all_rows",)).select(*df.columns)
+
+
 def bloom_filter(df: DataFrame, columns: list[str]) -> DataFrame:
     return written(df, **{f"parquet.bloom.filter.enabled#{c}": "true" for c in columns})
 
 
 def dictionary_files(df: DataFrame) -> DataFrame:
-    return written(df.sortWithinPartitions(df.columns[0]), **{"parquet.enable.dictionary": "true"})
+    """Dictionaries that no column outgrows."""
+    return written(df.sortWithinPartitions(df.columns[0]), **{"parquet.dictionary.page.size": str(16 << 20)})
 
 
 def fine_files(df: DataFrame, rows: int = 2_000) -> DataFrame:
@@ -162,7 +172,13 @@ def four_shards(df: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def cached(df: DataFrame) -> DataFrame:
-    return df.persist()
+    """A copy of the rows, kept in memory until release(). It is a copy, so Spark does
+    not put it into the plans of other queries over df."""
+    return checkpointed(df).select("*").persist()
+
+
+def release(df: DataFrame) -> None:
+    df.unpersist()
 
 
 def analyzed(df: DataFrame) -> DataFrame:
@@ -174,15 +190,15 @@ def analyzed(df: DataFrame) -> DataFrame:
 
 def other_schema(df: DataFrame) -> DataFrame:
     """A table in a schema of its own."""
-    spark, schema = df.sparkSession, fresh_name("s")
-    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{shared_dir(spark)}/{schema}'")
+    spark, schema = df.sparkSession, named("SCHEMA", fresh_name("s"))
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{fresh_path(spark, schema)}'")
     return spark.table(saved(df, f"{schema}.mirror"))
 
 
 def mirrored_back(df: DataFrame) -> DataFrame:
     """Out to another schema, back, and the other dropped."""
-    spark, schema = df.sparkSession, fresh_name("s")
-    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{shared_dir(spark)}/{schema}'")
+    spark, schema = df.sparkSession, named("SCHEMA", fresh_name("s"))
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{fresh_path(spark, schema)}'")
     back = written(spark.table(saved(df, f"{schema}.mirror")))
     spark.sql(f"DROP SCHEMA {schema} CASCADE")
     return back

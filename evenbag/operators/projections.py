@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenbag.plans.barriers import checkpointed
 
-from .base import KEY, fallback_predicate, keyed
+from .base import KEY, fallback_predicate, keyed, ranked
 
 
 def select_star(df: DataFrame, where: Column | None = None) -> DataFrame:
@@ -44,15 +44,13 @@ def lateral_reproject(df: DataFrame) -> DataFrame:
 
 
 def add_drop_column(df: DataFrame) -> DataFrame:
-    """A NULL column comes and goes; it is pruned from the plan."""
-    return df.withColumn("extra", F.lit(None).cast("int")).drop("extra")
+    """A NULL column comes, is written, and goes."""
+    return checkpointed(df.withColumn("extra", F.lit(None).cast("int"))).drop("extra")
 
 
 def number_all(df: DataFrame) -> DataFrame:
-    """Rows numbered in full order of their first column, of which all are kept: the
-    order is total and one partition, so it is for tables of a test's size."""
-    n = F.row_number().over(Window.orderBy(df.columns[0]))
-    return df.withColumn("n", n).filter("n >= 1").drop("n")
+    """Rows numbered in the order of their first column, of which all are kept."""
+    return ranked(df, "n", F.col(df.columns[0])).filter("n >= 0").drop("n")
 
 
 def ordered_scan(df: DataFrame) -> DataFrame:
@@ -93,8 +91,7 @@ def replace_columns(df: DataFrame) -> DataFrame:
 
 
 def numbered_bound(df: DataFrame, bound: int | None = None) -> DataFrame:
-    """The first `bound` rows of those of each first-column value, the bound being at
-    least the number of rows."""
+    """The first `bound` rows by the order of the first column, the bound being at least
+    the number of rows."""
     bound = bound if bound is not None else df.count()
-    n = F.row_number().over(Window.partitionBy(df.columns[0]).orderBy(df.columns[0]))
-    return df.withColumn("n", n).filter(F.col("n") <= bound).drop("n")
+    return ranked(df, "n", F.col(df.columns[0])).filter(F.col("n") < bound).drop("n")

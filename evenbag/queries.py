@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evenbag.functions.predicates import for_duckdb, predicate
+from evenbag.functions.predicates import FUNCTIONS, family, for_duckdb, predicate
 from evenbag.operators import codecs, dml, expansions, joins, layouts, partitionings, projections, windows
-from evenbag.plans import generator, workload
+from evenbag.plans import arms, generator, workload
 from evenbag.plans.barriers import checkpointed
 from evenbag.plans.compare import residual
 from evenbag.sources.tables import HAZARDS_SQL, hazards, table
@@ -42,10 +42,10 @@ REWRITES = {
     "determined_filter": (lambda d: projections.determined_filter(d, F.expr(_PRED), F.expr("c_flag")), _HZ + f"SELECT * FROM hz WHERE c_flag AND ({_PRED} OR NOT ({_PRED}) OR ({_PRED}) IS NULL)"),
     "recursive_cte": (projections.recursive_cte, _HZ.replace("WITH", "WITH RECURSIVE", 1) + ", r AS (SELECT * FROM hz UNION ALL SELECT * FROM r WHERE 1 = 0) SELECT * FROM r"),
     "replace_columns": (projections.replace_columns, _HZ + "SELECT * REPLACE (c_int AS c_int) FROM hz"),
-    "numbered_bound": (projections.numbered_bound, None),
+    "numbered_bound": (projections.numbered_bound, _HZ + "SELECT * FROM hz QUALIFY ROW_NUMBER() OVER (ORDER BY c_pk) <= (SELECT COUNT(*) FROM hz)"),
     # joins
-    "left_join_empty": (joins.left_join_empty, _HZ + "SELECT hz.* FROM hz LEFT JOIN (SELECT 1 AS x FROM hz WHERE 1 = 0) e ON TRUE"),
-    "anti_join_empty": (joins.anti_join_empty, _HZ + "SELECT * FROM hz ANTI JOIN (SELECT 1 AS x FROM hz WHERE 1 = 0) e ON TRUE"),
+    "left_join_empty": (lambda d: arms.under("adaptive_off", d, joins.left_join_empty), _HZ + "SELECT hz.* FROM hz LEFT JOIN (SELECT 1 AS x FROM hz WHERE 1 = 0) e ON TRUE"),
+    "anti_join_empty": (lambda d: arms.under("adaptive_off", d, joins.anti_join_empty), _HZ + "SELECT * FROM hz ANTI JOIN (SELECT 1 AS x FROM hz WHERE 1 = 0) e ON TRUE"),
     "semi_join_keys": (joins.semi_join_keys, _HZ + "SELECT * FROM hz SEMI JOIN (SELECT c_pk AS k FROM hz) e ON c_pk = k"),
     "flag_join_inner": (joins.flag_join, _HZ + "SELECT hz.* FROM hz JOIN (SELECT c_pk AS k, 1 AS f FROM hz) r ON c_pk = k WHERE f = 1"),
     "flag_join_left": (lambda d: joins.flag_join(d, "left"), _HZ + "SELECT hz.* FROM hz LEFT JOIN (SELECT c_pk AS k, 1 AS f FROM hz) r ON c_pk = k WHERE f = 1"),
@@ -53,10 +53,11 @@ REWRITES = {
     "flag_join_full": (lambda d: joins.flag_join(d, "full"), _HZ + "SELECT hz.* FROM hz FULL JOIN (SELECT c_pk AS k, 1 AS f FROM hz) r ON c_pk = k WHERE f = 1"),
     "flag_join_merge": (lambda d: joins.flag_join(d, hint="merge"), None),
     "flag_join_shuffle_hash": (lambda d: joins.flag_join(d, hint="shuffle_hash"), None),
+    "flag_join_broadcast": (lambda d: joins.flag_join(d, hint="broadcast"), None),
     "split_join": (joins.split_join, None),
     "cross_join_filter": (joins.cross_join_filter, _HZ + "SELECT hz.* FROM hz CROSS JOIN (SELECT c_pk AS k FROM hz) r WHERE c_pk = k"),
     "positional_join": (joins.positional_join, _HZ + "SELECT * FROM (SELECT c_pk, c_int, c_big, c_dec FROM hz ORDER BY c_pk) POSITIONAL JOIN (SELECT c_dbl, c_txt, c_flag, c_date, c_ts FROM hz ORDER BY c_pk)"),
-    "asof_join_empty": (lambda d: joins.asof_join_empty(d, "c_ts", ["c_pk"]), None),
+    "asof_join_empty": (lambda d: arms.under("rules_off", d, lambda x: joins.asof_join_empty(x, "c_ts", ["c_pk"])), None),
     "distinct_on": (lambda d: joins.distinct_on(d, "c_pk"), _HZ + "SELECT DISTINCT ON (c_pk) * FROM hz ORDER BY c_pk"),
     # partitionings and bag set operations
     "partition_union": (partitionings.partition_union, _HZ + "SELECT * FROM hz WHERE MOD(c_pk, 2) = 0 UNION ALL SELECT * FROM hz WHERE MOD(c_pk, 2) <> 0 OR c_pk IS NULL"),
@@ -130,6 +131,8 @@ REWRITES = {
     "range_sorted": (layouts.range_sorted, None),
     "sorted_descending": (layouts.sorted_descending, None),
     "covering": (lambda d: layouts.covering(d, "c_pk", ["c_int", "c_txt"]), None),
+    "partial_covering": (lambda d: layouts.partial_covering(d, "c_pk", ["c_int", "c_txt"], F.expr("c_flag")), None),
+    "constant_partitions": (layouts.constant_partitions, None),
     "bloom_filter": (lambda d: layouts.bloom_filter(d, ["c_int", "c_txt"]), None),
     "dictionary_files": (layouts.dictionary_files, None),
     "fine_files": (layouts.fine_files, None),
@@ -151,6 +154,15 @@ REWRITES = {
 for _fn in windows.FUNCTIONS:
     for _frame in windows.FRAMES:
         REWRITES[f"window_{_fn}_{_frame}"] = (lambda d, fn=_fn, frame=_frame: windows.window_rewrite(d, fn, frame), None)
+for _arm in arms.ARMS:
+    REWRITES[f"arm_{_arm}"] = (lambda d, arm=_arm: arms.under(arm, d, lambda x: joins.flag_join(joins.split_join(x), "full")), None)
+
+#: Rewrites of which Spark's final plan keeps nothing: what they say in SQL is the whole
+#: of them. All others leave an operator, or rows that were written.
+FOLDS = {
+    "select_star", "explicit_projection", "exact_projection", "cte", "not_materialized_cte", "lateral_reproject", "replace_columns",
+    "view", "global_view", "table_function", "generated_column_virtual",
+}
 
 
 def _rewritten(rewrite):
@@ -199,6 +211,13 @@ def _schema():
     return T.StructType([T.StructField(c, t) for c, t in zip(COLUMNS, kinds)])
 
 
+def _scalars(kind: str) -> str:
+    """Every function of a family, on columns of that family."""
+    columns = [f.name for f in _schema() if family(f.dataType) == kind]
+    calls = (text.format(a=columns[0], b=columns[-1]) for text, _ in FUNCTIONS[kind])
+    return f"SELECT c_pk, {', '.join(f'{c} AS f{k}' for k, c in enumerate(calls))} FROM hz"
+
+
 def _workload(text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.sql(text.replace(" hz", " {hz}"), hz=hazards(spark, sf_dir))
@@ -214,7 +233,8 @@ def registered() -> tuple[dict, dict]:
     schema = _schema()
     texts = {f"predicate_{k}": f"SELECT * FROM hz WHERE {predicate(schema, k)}" for k in PREDICATE_SEEDS}
     texts |= {f"workload_{k}": workload.query(["hz"], schema, k) for k in WORKLOAD_SEEDS}
-    texts["fork_join"] = "SELECT a.c_pk AS c_pk, b.c_txt AS c_txt FROM hz a LEFT JOIN hz b ON a.c_pk = b.c_pk"
+    texts |= {f"scalars_{kind}": _scalars(kind) for kind in FUNCTIONS}
+    texts |= {f"fork_join_{k}" if k else "fork_join": workload.query(["hz", "hz"], schema, k, "joined") for k in range(3)}
     for k in range(2):
         for part, text in zip(("whole", "split"), workload.tlp_pair("hz", schema, k)):
             texts[f"tlp_{part}_{k}"] = text
@@ -225,4 +245,20 @@ def registered() -> tuple[dict, dict]:
     for k in DERIVED_SEEDS:
         queries[f"derived_{k}"] = lambda spark, sf_dir, k=k: generator.derive(hazards(spark, sf_dir), k).df
         oracle[f"derived_{k}"] = BASE
+    for k in range(3):
+        queries[f"derived_filtered_{k}"] = lambda spark, sf_dir, k=k: generator.derive(hazards(spark, sf_dir), 100 + k, wanted=_wanted()).df
+        oracle[f"derived_filtered_{k}"] = _HZ + f"SELECT c_txt, c_pk, c_dbl FROM hz WHERE {_PRED} AND c_flag"
+        queries[f"derived_forks_{k}"] = lambda spark, sf_dir, k=k: _forked(spark, sf_dir, k)
+        oracle[f"derived_forks_{k}"] = oracle[f"fork_join_{k}" if k else "fork_join"]
     return queries, oracle
+
+
+def _wanted() -> generator.Wanted:
+    return generator.Wanted(where=F.expr(_PRED), columns=("c_txt", "c_pk", "c_dbl")).merged(generator.Wanted(where=F.expr("c_flag"), stored=True))
+
+
+def _forked(spark: SparkSession, sf_dir: str, seed: int) -> DataFrame:
+    """A join of two forks, each derived for itself."""
+    made = generator.forks(hazards(spark, sf_dir), 200 + 10 * seed, ["t0", "t1"], 3)
+    text = workload.query(["{t0}", "{t1}"], _schema(), seed, "joined")
+    return spark.sql(text, **{n: d.df for n, d in made.items()})
