@@ -36,10 +36,16 @@ _STRIP = b".,;:!?\"'()[]{}<>*#-_"
 _EMPTY_LOGIT = -20.0
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def grams(words: list[bytes], lot: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, where each word's begin): one bucket for each n-gram of SIZES bytes
     of the whole word, with a mark before and behind it. The empty word has one
     n-gram, number 0, whose vector stays zero."""
+    parts = [_grams(words[k : k + lot]) for k in range(0, len(words), lot)] or [_grams([])]
+    shifts = np.cumsum([0, *(len(buckets) for buckets, _ in parts[:-1])])
+    return np.concatenate([buckets for buckets, _ in parts]), np.concatenate([begin + shift for (_, begin), shift in zip(parts, shifts)])
+
+
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer(b"".join(b"<%s>" % w for w in words), np.uint8).astype(np.uint64)
     ends = np.cumsum([len(w) + 2 for w in words]) if words else np.zeros(0, np.int64)
     left = np.repeat(ends, [len(w) + 2 for w in words]) - np.arange(len(flat)) if words else ends
