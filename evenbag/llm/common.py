@@ -1,31 +1,19 @@
-"""What the operators share: the shared folder, checkpoints, ranks, fresh names."""
+"""What the operators share: checkpoints, ranks, fresh names."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evenbag.plans.barriers import shared_dir
+
 #: A word, in Java's, DuckDB's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir as the
-    session names it. Only where it is unset (tests on one machine) a new local
-    folder is made and set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    known = conf or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(known)
-    return known
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept by checkpoint() in the shared folder."""
+    """df, computed once and kept by checkpoint() in the shared folder, which the
+    session must name unless it is local."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 

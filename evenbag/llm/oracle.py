@@ -1,7 +1,12 @@
 r"""DuckDB SQL for the operators that SQL can express.
 
-Not here: op2 and op10 need a hash that DuckDB lacks, op3 and op5 likewise, op4 a
-tokenizer, op9 a trained network. Tests hold these against brute force."""
+Not here: op2 and op10 need a hash that DuckDB lacks, op3 patterns that look behind, op4
+a tokenizer, op5 runs chosen by windowed minima, op9 a trained network. Tests hold each
+against a slow version of its own: op2 targets, quotients and words taken; op3 every
+document, searched and permuted in plain Python; op4 the tokenizer's own ids, piece by
+piece; op5 units cut word by word, and its lines against DuckDB's; op9 scores by a
+forward pass word by word, and held-out accuracy; op10 fingerprints bit by bit and all
+pairs."""
 
 from __future__ import annotations
 

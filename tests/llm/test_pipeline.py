@@ -1,6 +1,11 @@
 """The pipeline stage by stage, against brute force, and as one run."""
 
+import os
+import subprocess
+import sys
+import tempfile
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -75,3 +80,23 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_executors_need_no_copy_of_the_package():
+    """All queries, in a session started elsewhere with no PYTHONPATH: only the driver
+    knows where the package is."""
+    script = f"""
+import sys, tempfile
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from pyspark.sql import SparkSession
+work = tempfile.mkdtemp()
+s = SparkSession.builder.master("local[4]").config(map={{"spark.checkpoint.dir": "file://" + work + "/c", "spark.sql.warehouse.dir": work + "/w", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false"}}).getOrCreate()
+s.sparkContext.setLogLevel("OFF")
+import __spark_entry__
+queries = __spark_entry__.queries()
+for name in sorted(n for n in queries if n.startswith("op") or n == "pipeline"):
+    print(name, queries[name](s, {SF!r}).count(), flush=True)
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=1200, cwd=tempfile.mkdtemp(), env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    found = dict(line.split() for line in done.stdout.splitlines())
+    assert len(found) == 11 and all(int(n) > 0 for k, n in found.items()), done.stderr[-3000:]
