@@ -1,15 +1,19 @@
-"""SimHash near-dedup by pigeonhole blocks."""
+"""SimHash near-dedup by pigeonhole blocks.
+
+Two widths: 64-bit fingerprints of which two link at 2 differing bits (near_duplicates),
+and wide ones, from which a similarity of 0.8 can be told (near_texts, keep_one)."""
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import col, cut, fresh
 from .components import components
@@ -115,31 +119,170 @@ def labelled(prints: DataFrame, bits: int = 2) -> DataFrame:
     return prints.join(names, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
-    """docs with one row of each component: that of its smallest id (null is the
-    largest) and, of that id's fingerprints, the smallest. Of rows that repeat both
-    the one stays whose text has the smallest hash. Only rows whose id is null or
-    repeats are fingerprinted again, as their ids do not tell them apart."""
-    prints = cut(fingerprints(docs, id_col, text_col))
-    others = components(link(prints, bits)).filter("node.fp <> component.fp").select("node.fp")
-    here, own_fp, fp, row = fresh(docs, "first_id", "first_fp", "fp", "row")
-    first = prints.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(_LAST))).alias("id")).join(others, "fp", "left_anti")
-    first = cut(first.select(F.col("id").alias(here), F.col("fp").alias(own_fp)))
-    unclear = cut(prints.groupBy(F.col("id").alias(here)).count().filter((F.col("count") > 1) | F.coalesce(here, F.lit(_LAST)).eqNullSafe(_LAST)).select(here))
-    own = col(docs, id_col).cast("long")
-    if not unclear.limit(1).count():
-        return docs.join(first, own == F.col(here), "left_semi")
-    clear = docs.join(unclear, own.eqNullSafe(F.col(here)), "left_anti").join(first, own == F.col(here), "left_semi")
-    same = F.coalesce(own, F.lit(_LAST)) == F.col(here)
-    some = docs.join(unclear, own.eqNullSafe(F.col(here)), "left_semi").join(first, same, "left_semi")
-    at, names = docs.columns.index(text_col), [*docs.columns, fp]
+#: Of wide fingerprints: words of a shingle, the similarity (Jaccard, of shingles) from
+#: which texts are near, the odds that such a pair shares no block, and the fewest bits
+#: of a block and of all blocks (what similarity is told from).
+WIDE_WIDTH, SIMILAR, MISS, LEAST_BITS, LEAST_WIDE = 5, 0.8, 0.03, 12, 1000
+#: Buckets of more fingerprints are compared with their first one, and only what that
+#: does not link with the others; so many at once.
+MOST, CHUNK = 64, 1024
+
+
+def differing(similar: float = SIMILAR) -> float:
+    """The share of bits in which fingerprints of texts of this similarity differ."""
+    return math.acos(2 * similar / (1 + similar)) / math.pi
+
+
+def shape_of(texts: int, similar: float = SIMILAR) -> tuple[int, int, int]:
+    """(bits of a block, blocks, words of 64 bits) for so many texts: blocks are so long
+    that a stranger's seldom is the same, and so many that a near pair shares one but
+    with odds of MISS."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(2, texts))))
+    blocks = math.ceil(max(math.log(MISS) / math.log(1 - (1 - differing(similar)) ** bits), LEAST_WIDE / bits))
+    return bits, blocks, math.ceil(bits * blocks / BITS)
+
+
+def wide_print(text: bytes | None, words: int, width: int = WIDE_WIDTH) -> bytes:
+    """The fingerprint of a whole text in 64 * words bits, by shingles of `width` words,
+    repeats included; all zero without words."""
+    split = (text or b"").lower().split()
+    if not split:
+        return bytes(8 * words)
+    flat = b" ".join(split)
+    ends = list(accumulate(len(w) + 1 for w in split))
+    starts, last = [0, *ends[:-1]], ends[width - 1 :] or ends[-1:]
+    digest, ones = xxhash.xxh3_64_intdigest, np.zeros(BITS * words, np.int64)
+    odd = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(last), 1 << 16):
+        found = np.array([digest(flat[a : b - 1]) for a, b in zip(starts[at : at + (1 << 16)], last[at : at + (1 << 16)])], np.uint64)
+        for k in range(0, len(found), 255):  # sums of so many fit in a byte
+            x = found[k : k + 255, None] + odd
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            ones += np.unpackbits((x ^ x >> np.uint64(31)).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(last), bitorder="little").tobytes()
+
+
+def _words(column: pa.Array, words: int) -> np.ndarray:
+    """Binary fingerprints as an array (rows, words)."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
+
+
+def wide_prints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE_WIDTH) -> DataFrame:
+    """(id, text_key, fp binary) for every row; text_key tells texts of one id apart."""
 
     def run(batches):
         for b in batches:
-            found = [fingerprint(t.as_py()) for t in b.column(at).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.array(found, np.uint64).view(np.int64))], names)
+            found = [wide_print(t.as_py(), words, width) for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "text_key", "fp"])
+
+    text = col(docs, text_col)
+    return docs.select(col(docs, id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "id long, text_key long, fp binary")
+
+
+def wide_links(nodes: DataFrame, shape: tuple[int, int, int], most: int = MOST, chunk: int = CHUNK, similar: float = SIMILAR) -> DataFrame:
+    """Edges (u, v) of numbers that join all nodes (n, fp: different fingerprints) which
+    share a block and differ in as few bits as texts of this similarity do, by one
+    standard deviation more at most, into their components.
+
+    Nodes are keyed by each block. In a bucket of at most `most` nodes pairs are joined
+    on the key and verified. In a larger one each is verified against the first; those
+    that it links need no pair among them, and only the others are compared, in chunks
+    of bounded size, with all of the bucket, of which as many links leave a task as
+    join its nodes. So nothing is left out, and no near group gives all its pairs."""
+    bits, blocks, words = shape
+    p = differing(similar)
+    limit = math.floor(p * bits * blocks + math.sqrt(p * (1 - p) * bits * blocks))
+    whole = np.frombuffer(np.packbits(np.arange(BITS * words) < bits * blocks, bitorder="little").tobytes(), np.uint64)
+    weigh = 1 << np.arange(bits, dtype=np.int64)
+
+    def keys(batches):
+        for b in batches:
+            fps = np.unpackbits(_words(b.column(1), words).view(np.uint8), axis=1, bitorder="little") if b.num_rows else np.zeros((0, BITS * words), np.uint8)
+            values = fps[:, : bits * blocks].reshape(-1, blocks, bits).astype(np.int64) @ weigh
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), blocks)), pa.array((values + (np.arange(1, blocks + 1, dtype=np.int64) << 40)).ravel())], ["n", "key"])
+
+    def near(a, b):
+        return np.bitwise_count((a ^ b) & whole).sum(axis=-1, dtype=np.int32) <= limit
+
+    def verify(batches):
+        for b in batches:
+            if b.num_rows:
+                good = near(_words(b.column(3), words), _words(b.column(4), words))
+                yield b.select(["u", "v", "key"]).append_column("near", pa.array(good))
+
+    def forest(table: pa.Table) -> pa.Table:
+        """The rest of a chunk (own) against one chunk of all: edges that join what is near."""
+        rest, every = table.filter(table["own"]), table.filter(pc.invert(table["own"]))
+        a, b = _words(rest["fp"].combine_chunks(), words), _words(every["fp"].combine_chunks(), words)
+        left, right, up, out = rest["n"].to_numpy(), every["n"].to_numpy(), {}, []
+
+        def top(x):
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        for i in range(len(a)):
+            for j in np.flatnonzero(near(a[i], b)).tolist():
+                x, y = top(int(left[i])), top(int(right[j]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out.append((int(left[i]), int(right[j])))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    keyed = cut(nodes.select("n", "fp").mapInArrow(keys, "n long, key long"))
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("head")).filter("size > 1"))
+    met = cut(keyed.join(sizes, "key"))
+    few = met.filter(F.col("size") <= most).select("n", "key")
+    pairs = few.withColumnRenamed("n", "u").join(few.withColumnRenamed("n", "v"), "key").filter("u < v").select("u", "v").distinct().withColumn("key", F.lit(0).cast("long"))
+    stars = met.filter((F.col("size") > most) & (F.col("n") != F.col("head"))).select(F.col("head").alias("u"), F.col("n").alias("v"), "key")
+    by = nodes.select("n", "fp")
+    asked = pairs.unionByName(stars).join(by.withColumnsRenamed({"n": "u", "fp": "x"}), "u").join(by.withColumnsRenamed({"n": "v", "fp": "y"}), "v")
+    told = cut(asked.select("u", "v", "key", "x", "y").mapInArrow(verify, "u long, v long, key long, near boolean"))
+    links = told.filter("near").select("u", "v")
+    rest = cut(told.filter((F.col("key") > 0) & ~F.col("near")).select(F.col("v").alias("n"), "key"))
+    if rest.limit(1).count():
+        chunks = F.ceil(F.col("size") / chunk).cast("int")
+        buckets = rest.select("key").distinct().join(sizes.select("key", chunks.alias("chunks")), "key")
+        of = lambda df: df.join(buckets, "key").withColumn("at", F.pmod(F.xxhash64("n"), "chunks").cast("int"))
+        others = F.sequence(F.lit(0), F.col("chunks") - 1)
+        own = of(rest).withColumn("low", F.col("at")).withColumn("high", F.explode(others)).withColumn("own", F.lit(True))
+        every = of(met.select("n", "key")).withColumn("high", F.col("at")).withColumn("low", F.explode(others)).withColumn("own", F.lit(False))
+        both = own.unionByName(every).join(by, "n").select("key", "low", "high", "own", "n", "fp")
+        links = links.unionByName(both.groupBy("key", "low", "high").applyInArrow(forest, "u long, v long"))
+    return links.distinct()
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, width: int = WIDE_WIDTH, most: int = MOST) -> DataFrame:
+    """(id, text_key, n rows, first struct of id and text_key) for every different id and
+    text: `first` is the smallest of its group of near texts, null ids being largest.
+
+    Texts are near if their wide fingerprints say that their shingles (of `width` words,
+    or the whole of a shorter text) have a Jaccard similarity of `similar`; groups are
+    what links reach. Copies are one node. Null, empty and wordless texts are near one
+    another. Other columns are not read; an empty table gives no rows."""
+    shape = shape_of(docs.count(), similar)
+    prints = cut(wide_prints(docs, shape[2], id_col, text_col, width).groupBy("id", "text_key").agg(F.first("fp").alias("fp"), F.count("*").alias("rows")))
+    rank = F.struct(F.coalesce("id", F.lit(_LAST)).alias("id"), "text_key")
+    nodes = cut(prints.groupBy("fp").agg(F.min(rank).alias("first")).withColumn("n", F.monotonically_increasing_id()))
+    of = components(wide_links(nodes, shape, most, similar=similar)).select(F.col("node").alias("n"), "component")
+    firsts = cut(nodes.join(of, "n", "left").select("n", "fp", "first", F.coalesce("component", "n").alias("component")))
+    heads = firsts.groupBy("component").agg(F.min("first").alias("head"))
+    named = cut(firsts.join(heads, "component").select("fp", "head"))
+    return prints.join(named, "fp").select("id", "text_key", "rows", F.col("head").alias("first"))
+
 
-    some = some.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
-    some = some.join(first, same & (F.col(fp) == F.col(own_fp)))
-    some = some.groupBy(here, own_fp).agg(F.min_by(F.struct(*(col(docs, c) for c in docs.columns)), F.xxhash64(col(docs, text_col))).alias(row))
-    return clear.union(some.select(f"{row}.*"))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, width: int = WIDE_WIDTH) -> DataFrame:
+    """docs with one row of each group of near_texts(): that of the smallest id (null is
+    the largest) and, of that id's texts, the one of the smallest key. Of rows that
+    repeat both any one stays. Texts are not shuffled but where rows repeat."""
+    here, key = fresh(docs, "kept_id", "kept_text")
+    groups = near_texts(docs, id_col, text_col, similar, width)
+    first = groups.filter((F.coalesce("id", F.lit(_LAST)) == F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")))
+    first = cut(first.select(F.col("id").alias(here), F.col("text_key").alias(key), "rows"))
+    same = col(docs, id_col).cast("long").eqNullSafe(F.col(here)) & (F.xxhash64(col(docs, text_col)) == F.col(key))
+    once = docs.join(first.filter("rows = 1").drop("rows"), same, "left_semi")
+    often = first.filter("rows > 1").drop("rows")
+    if not often.limit(1).count():
+        return once
+    return once.union(docs.join(often, same).dropDuplicates([here, key]).select(*(col(docs, c) for c in docs.columns)))

@@ -1057,6 +1057,99 @@ def test_simhash_links_in_small_and_large_buckets(spark, most, bits):
         assert got.get(p, min(j for j, q in zip(ids, prints) if q == p)) == c
 
 
+def slow_wide(text, words):
+    """By the definition, bit by bit, in Python's integers."""
+    m, w = (1 << 64) - 1, re.sub("[A-Z]", lambda x: x[0].lower(), text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", w)
+    grams = [" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or ([" ".join(w)] if w else [])
+    ones = [0] * 64 * words
+    for g in grams:
+        h = xxhash.xxh3_64_intdigest(g.encode())
+        for k in range(words):
+            x = h + (k + 1) * 0x9E3779B97F4A7C15 & m
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+            x ^= x >> 31
+            for b in range(64):
+                ones[64 * k + b] += x >> b & 1
+    return sum(1 << b for b, n in enumerate(ones) if 2 * n > len(grams))
+
+
+def shingles(text):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_copies(rng, n, vocabulary=3000):
+    """(texts, pairs): texts, and copies of them with some words changed."""
+    out, pairs = [], []
+    for _ in range(n):
+        base = [f"w{rng.randrange(vocabulary)}" for _ in range(rng.randint(40, 400))]
+        out.append(" ".join(base))
+        for _ in range(rng.choice([0, 1, 3])):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 50))):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(vocabulary)}"
+            pairs.append((len(out), jaccard(" ".join(base), " ".join(copy))))
+            out.append(" ".join(copy))
+    return out, pairs
+
+
+def test_wide_prints_are_as_defined(docs):
+    texts = [r["text"][:900] for r in docs.select("text").limit(12).collect()] + ["", None, "one", "A b C d E f", "a b c d e f", " \n", "字 " * 9]
+    for t in texts:
+        assert int.from_bytes(simhash.wide_print(None if t is None else t.encode(), 3), "little") == slow_wide(t, 3)
+
+
+@pytest.mark.parametrize("most", [3, simhash.MOST])
+def test_near_texts_against_brute_force(spark, most):
+    """Groups are those of all pairs' Hamming distances, in small buckets and large
+    ones; pairs of 0.85 and more meet, strangers and texts of one frame do not."""
+    rng = random.Random(5)
+    texts, _ = near_copies(rng, 60)
+    dense = [f"d{k}" for k in range(300)]
+    texts += [" ".join(dense[:k] + [f"e{k}"] + dense[k + 1 :]) for k in range(0, 90)]
+    frame_ = [f"f{k}" for k in range(30)]
+    texts += [" ".join([*frame_, *(f"g{rng.randrange(9000)}" for _ in range(40))]) for _ in range(60)]
+    texts += ["", None, "one", "One"]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame([*rows, (None, texts[0]), (3, "an other text of the same id"), (3, texts[3])], "doc_id long, text string")
+    got = {(r["id"], r["text_key"]): (r["first"]["id"], r["rows"]) for r in simhash.near_texts(frame, most=most).collect()}
+    keys = {(r["doc_id"], r["key"]): r["text"] for r in frame.select("*", F.xxhash64("text").alias("key")).collect()}
+    assert got.keys() == keys.keys()
+    bits, blocks, wide = simhash.shape_of(frame.count())
+    p = simhash.differing()
+    limit, mask = int(p * bits * blocks + (p * (1 - p) * bits * blocks) ** 0.5), (1 << bits * blocks) - 1
+    prints = {k: int.from_bytes(simhash.wide_print(None if t is None else t.encode(), wide), "little") & mask for k, t in keys.items()}
+    nodes = sorted(set(prints.values()))
+    near = [(a, b) for k, a in enumerate(nodes) for b in nodes[:k] if (a ^ b).bit_count() <= limit]
+    top = find(nodes, near)
+    first = {}
+    for (i, _), x in prints.items():
+        first[top[x]] = min(first.get(top[x], 2**63), 2**63 - 1 if i is None else i)
+    assert {k: v[0] for k, v in got.items()} == {k: first[top[x]] for k, x in prints.items()}
+    of = {t: got[k][0] for k, t in keys.items()}
+    for k, a in rows:
+        for j, b in rows[:k]:
+            if jaccard(a, b) >= 0.85:
+                assert of[a] == of[b]
+    framed = {of[t] for t in texts if t and t.startswith("f0 ")}
+    assert len(framed) == 60
+
+
+def test_shapes_grow_with_the_logarithm():
+    made = [simhash.shape_of(n) for n in (0, 10**3, 10**6, 10**9)]
+    assert [x[0] for x in made] == [12, 12, 20, 30]
+    for bits, blocks, wide in made:
+        assert bits * blocks <= 64 * wide and (1 - (1 - simhash.differing()) ** bits) ** blocks <= simhash.MISS
+
+
 def test_keep_one_of_each_group(spark, awkward):
     base = " ".join(f"word{k}" for k in range(300))
     rows = [(5, base), (3, base), (3, base), (9, base + " more"), (1, "another text altogether, of other words"), (None, None), (None, "")]
@@ -1072,6 +1165,8 @@ def test_keep_one_where_ids_do_not_tell_rows_apart(spark):
     rows = [(None, a), (None, b), (None, b), (None, ""), (7, c), (7, d), (3, e), (5, e), (5, "quite another text"), (9, a)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit(1), "first_id": F.lit(2)})
     kept = simhash.keep_one(frame)
-    assert kept.columns == frame.columns
+    assert kept.columns == frame.columns and simhash.keep_one(frame.filter("1 = 0")).count() == 0
+    lone = spark.createDataFrame([(1, a), (3, a), (3, b)], "doc_id long, text string")
+    assert Counter(map(tuple, simhash.keep_one(lone).collect())) == Counter([(1, a), (3, b)])
     want = [(9, a), (None, b), (None, ""), (7, c), (7, d), (3, e), (5, "quite another text")]
     assert Counter(map(tuple, kept.select("doc_id", "text").collect())) == Counter(want)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evenbag.llm import mixing, toxicity
-from tests.llm.test_operators import PRIVATE, brute_components, check_packing, slow_fingerprint, words
+from tests.llm.test_operators import PRIVATE, check_packing, find, shingles, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,9 +35,16 @@ def test_stages_and_run(spark, tmp_path):
     clean = [r for r, s in ((r, r["score"]) for r in toxicity.score_documents(docs, model).collect()) if s < toxicity.THRESHOLD]
     assert rows(kept["toxicity"]) == Counter(tuple(r)[:-1] for r in clean) and len(clean) <= docs.count()
 
-    prints = [slow_fingerprint(r["text"]) for r in clean]
-    first = brute_components([r["doc_id"] for r in clean], prints)
-    assert Counter(r["doc_id"] for r in kept["simhash"].collect()) == Counter(set(first))
+    # Of each group of copies and near texts, by all pairs, the first stays.
+    texts = {r["doc_id"]: r["text"] for r in clean}
+    stays = {r["doc_id"] for r in kept["simhash"].collect()}
+    assert len(stays) == kept["simhash"].count()
+    grams = {i: shingles(t) for i, t in texts.items()}
+    likeness = {(i, j): len(grams[i] & grams[j]) / len(grams[i] | grams[j]) if grams[i] | grams[j] else 1.0 for i in texts for j in texts if i < j}
+    groups = find(texts, [p for p, x in likeness.items() if x >= 0.85])
+    assert Counter(groups[i] for i in stays).most_common(1)[0][1] == 1
+    loose = find(texts, [p for p, x in likeness.items() if x >= 0.7])
+    assert {min(i for i in texts if loose[i] == g) for g in set(loose.values())} <= stays
 
     before = {r["doc_id"]: r["text"] for r in kept["simhash"].collect()}
     after = {r["doc_id"]: r["text"] for r in kept["pii"].collect()}
