@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evenbag.functions.predicates import predicate
 from evenbag.operators import codecs, dml, expansions, joins, layouts, partitionings, projections, windows
@@ -44,6 +45,11 @@ class Wanted:
         return frozenset(k for k, yes in has.items() if yes)
 
 
+#: A source of predicates: of (schema, seed) the text of one, or None; the same seed
+#: always gives the same.
+PredicateSource = Callable[[StructType, int], str | None]
+
+
 @dataclass
 class Tree:
     """A tree that grows: its base, the draws, what is left to spend, the steps taken."""
@@ -52,11 +58,14 @@ class Tree:
     rng: random.Random
     weights: dict[str, float]
     nodes: int
+    predicates: PredicateSource = predicate
     steps: list[str] = field(default_factory=list)
     lazy: int = 0
 
     def predicate(self) -> Column:
-        return F.expr(predicate(self.base.schema, self.rng.randrange(1 << 30)))
+        """A predicate of the base's columns; IS NULL of the first if the source has none."""
+        text = self.predicates(self.base.schema, self.rng.randrange(1 << 30))
+        return F.expr(text) if text else F.col(self.base.columns[0]).isNull()
 
     def order(self, names: Iterable[str]) -> list[str]:
         """A permutation by weight: keys -ln(u) / w, lowest first; weight 0 is out."""
@@ -173,7 +182,7 @@ def _halves(tree: Tree, depth: int, wanted: Wanted) -> DataFrame | None:
     key = fresh_name("half")
     rows, half, arms = keyed(tree.grow(depth, wanted), key), len(names) // 2, []
     for some in (names[:half], names[half:]):
-        part = Tree(rows.select(key, *some), tree.rng, tree.weights, min(2, tree.nodes))
+        part = Tree(rows.select(key, *some), tree.rng, tree.weights, min(2, tree.nodes), tree.predicates)
         arms.append(part.grow(min(depth, 1)))
         tree.steps += part.steps
     return arms[0].join(arms[1], key).select(*names)
@@ -246,12 +255,12 @@ class Derived:
     steps: list[str]
 
 
-def derive(df: DataFrame, seed: int, depth: int = 5, weights: dict[str, float] | None = None, nodes: int = 12, wanted: Wanted = Wanted(), name: str | None = None) -> Derived:
+def derive(df: DataFrame, seed: int, depth: int = 5, weights: dict[str, float] | None = None, nodes: int = 12, wanted: Wanted = Wanted(), name: str | None = None, predicates: PredicateSource = predicate) -> Derived:
     """df's rows (those, and those columns, that are wanted) by a tree of at most
     `nodes` rewrites, `depth` deep. The same seed draws the same rewrites and
     predicates. With a name it is also a temporary view."""
     base = checkpointed(df)
-    tree = Tree(base, random.Random(seed), weights or {}, nodes)
+    tree = Tree(base, random.Random(seed), weights or {}, nodes, predicates)
     out = tree.grow(depth, wanted)
     if name:
         out.createOrReplaceTempView(named("VIEW", name))

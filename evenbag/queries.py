@@ -202,6 +202,22 @@ def bag_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESIDUAL_SQL = _HZ + "SELECT *, CAST(COUNT(*) AS BIGINT) AS surplus FROM hz WHERE c_int IS NULL GROUP BY ALL"
 
+#: Shapes of queries beside those that plans.workload draws, over the same table.
+SHAPES = {
+    "in_subquery": "SELECT c_pk, c_int FROM hz WHERE c_int IN (SELECT CAST(c_big % 50 AS BIGINT) FROM hz WHERE c_flag)",
+    "not_exists": "SELECT a.c_pk AS c_pk FROM hz a WHERE NOT EXISTS (SELECT 1 FROM hz b WHERE b.c_pk = a.c_pk + 1 AND b.c_flag)",
+    "scalar_subquery": "SELECT c_pk, (SELECT MAX(c_dec) FROM hz) - c_dec AS below FROM hz WHERE c_int = (SELECT MIN(c_int) FROM hz)",
+    "any_of": "SELECT c_txt, CAST(COUNT(*) AS BIGINT) AS n FROM hz GROUP BY c_txt HAVING bool_or(c_flag) AND NOT bool_and(c_flag)",
+    "ranks": "SELECT c_pk, CAST(RANK() OVER (PARTITION BY c_int ORDER BY c_pk) AS BIGINT) AS r, CAST(DENSE_RANK() OVER (PARTITION BY c_int ORDER BY c_txt NULLS FIRST) AS BIGINT) AS d, CAST(NTILE(3) OVER (PARTITION BY c_int ORDER BY c_pk) AS BIGINT) AS t FROM hz WHERE c_int IS NOT NULL",
+    "neighbours": "SELECT c_pk, LAG(c_dec) OVER (PARTITION BY c_int ORDER BY c_pk) AS before, LEAD(c_txt, 2) OVER (PARTITION BY c_int ORDER BY c_pk) AS after FROM hz WHERE c_int IS NOT NULL",
+    "top_rows": "SELECT c_pk, c_dec FROM hz WHERE c_dec IS NOT NULL ORDER BY c_dec DESC, c_pk LIMIT 50 OFFSET 10",
+    "bits": "SELECT c_flag, bit_and(c_pk) AS a, bit_or(c_pk) AS o, bit_xor(c_pk) AS x FROM hz GROUP BY c_flag",
+    "spread": "SELECT c_txt, CAST(ROUND(stddev_pop(c_int), 6) AS DOUBLE) AS s, CAST(ROUND(var_samp(c_int), 6) AS DOUBLE) AS v, CAST(median(c_int) AS DOUBLE) AS m FROM hz GROUP BY c_txt",
+    "grouping_sets": "SELECT c_txt, c_flag, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(c_big) AS DECIMAL(38,0)) AS s FROM hz GROUP BY GROUPING SETS ((c_txt, c_flag), (c_txt), ())",
+    "counted_if": "SELECT CAST(COUNT(DISTINCT c_int) AS BIGINT) AS d, CAST(COUNT(*) FILTER (WHERE c_flag) AS BIGINT) AS f FROM hz",
+    "union_of_sets": "SELECT c_int FROM hz WHERE c_flag UNION SELECT c_int FROM hz WHERE NOT c_flag EXCEPT SELECT c_pk FROM hz",
+}
+
 #: Seeds whose random predicates and queries are registered.
 PREDICATE_SEEDS, WORKLOAD_SEEDS, DERIVED_SEEDS = range(12), range(12), range(6)
 
@@ -233,6 +249,7 @@ def registered() -> tuple[dict, dict]:
     schema = _schema()
     texts = {f"predicate_{k}": f"SELECT * FROM hz WHERE {predicate(schema, k)}" for k in PREDICATE_SEEDS}
     texts |= {f"workload_{k}": workload.query(["hz"], schema, k) for k in WORKLOAD_SEEDS}
+    texts |= {f"shape_{name}": text for name, text in SHAPES.items()}
     texts |= {f"scalars_{kind}": _scalars(kind) for kind in FUNCTIONS}
     texts |= {f"fork_join_{k}" if k else "fork_join": workload.query(["hz", "hz"], schema, k, "joined") for k in range(3)}
     for k in range(2):
