@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from .common import col, cut, fresh
 
-#: Words of a run, and successive runs of which one at least is a unit.
-RUN, WINDOW = 20, 24
+#: Words of a run, and successive runs of which one at least is a unit: no more than
+#: words of a run, so that the units inside a passage touch.
+RUN, WINDOW = 20, 20
 #: The same in characters, for words of more than LONG_WORD characters.
-CHAR_RUN, CHAR_WINDOW, LONG_WORD = 24, 27, 49
+CHAR_RUN, CHAR_WINDOW, LONG_WORD = 24, 24, 46
 #: What op5 calls a passage: at least so many words. Shorter lines that repeat
 #: (headings, licence lines) are found too, and go with least=1.
 LEAST = 20

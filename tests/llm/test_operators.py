@@ -604,13 +604,24 @@ def test_any_passage_has_a_unit():
     short = lambda n: " ".join(word() + ("." if k % 5 == 4 else "") for k in range(n))
     chars = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
     wrapped = lambda text: re.sub(" ", lambda _: rng.choice([" ", " ", "\n", "  "]), text)
-    for make, n, space in ((plain, 43, " "), (short, 43, " "), (chars, 50, "")):
+    for make, n, space in ((plain, 39, " "), (short, 39, " "), (chars, 47, "")):
         for _ in range(200):
             p = make(n)
             a, b = (space.join([make(rng.randint(20, 90)), wrapped(p), make(rng.randint(20, 90))]) for _ in range(2))
             assert {x[4] for x in fast_units(a)} & {x[4] for x in fast_units(b)}
 
 
+def test_the_inside_of_a_passage_goes_whole(spark):
+    """Of a passage of 200 words all goes but for less than a window at either end."""
+    rng = random.Random(8)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    p = plain(200)
+    rows = [(k, f"{plain(30)} {p} {plain(30)}") for k in range(6)]
+    for r in linededup.dedup_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        left = len(words(r["text"])) - 60
+        assert left == 200 if r["doc_id"] == 0 else len(r["removed_spans"]) == 1 and left < 2 * linededup.WINDOW
+
+
 def brute_passages(rows, least):
     """By definition, from slow_units(): repeated units, put together word by word."""
     whole = sorted({(i is None, i or 0, t) for i, t in rows if t})
