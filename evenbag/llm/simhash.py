@@ -275,7 +275,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, width: int = WIDE_WIDTH) -> DataFrame:
     """docs with one row of each group of near_texts(): that of the smallest id (null is
     the largest) and, of that id's texts, the one of the smallest key. Of rows that
-    repeat both any one stays. Texts are not shuffled but where rows repeat."""
+    repeat both any one stays. Documents are shuffled once, by id and text."""
     here, key = fresh(docs, "kept_id", "kept_text")
     groups = near_texts(docs, id_col, text_col, similar, width)
     first = groups.filter((F.coalesce("id", F.lit(_LAST)) == F.col("first.id")) & (F.col("text_key") == F.col("first.text_key")))
