@@ -20,6 +20,8 @@ from .components import components
 
 BITS = 64
 SEED = 42
+#: The most large buckets that are broadcast; more are joined by shuffle.
+MAX_BROADCAST = 100_000
 #: Stands for a null doc_id among the nodes, so that it is never the smallest.
 _LAST = 2**63 - 1
 
@@ -126,6 +128,9 @@ WIDE_WIDTH, SIMILAR, MISS, LEAST_BITS, LEAST_WIDE = 5, 0.8, 0.03, 12, 1000
 #: Buckets of more fingerprints are compared with their first one, and only what that
 #: does not link with the others; so many at once.
 MOST, CHUNK = 64, 1024
+#: Of the first 64 bits, so many may differ in a pair that is looked at further: of near
+#: ones more do with odds of 1 in 5000, of strangers half do.
+FIRST_LOOK = 20
 
 
 def differing(similar: float = SIMILAR) -> float:
@@ -185,11 +190,13 @@ def wide_links(nodes: DataFrame, shape: tuple[int, int, int], most: int = MOST,
     share a block and differ in as few bits as texts of this similarity do, by one
     standard deviation more at most, into their components.
 
-    Nodes are keyed by each block. In a bucket of at most `most` nodes pairs are joined
-    on the key and verified. In a larger one each is verified against the first; those
-    that it links need no pair among them, and only the others are compared, in chunks
-    of bounded size, with all of the bucket, of which as many links leave a task as
-    join its nodes. So nothing is left out, and no near group gives all its pairs."""
+    Nodes are keyed by each block, and carry 64 bits of their fingerprint along. Of a
+    bucket of at most `most` nodes, those whose bits agree with the first's are verified
+    against it, the others against all they agree with; of a larger one, all against the
+    first. What the first links needs no pair among itself; what it was to link and does
+    not is compared, in chunks of bounded size, with all of the bucket, of which as many
+    links leave a task as join its nodes. So nothing is left out, and no near group gives
+    all its pairs."""
     bits, blocks, words = shape
     p = differing(similar)
     limit = math.floor(p * bits * blocks + math.sqrt(p * (1 - p) * bits * blocks))
@@ -200,7 +207,9 @@ def wide_links(nodes: DataFrame, shape: tuple[int, int, int], most: int = MOST,
         for b in batches:
             fps = np.unpackbits(_words(b.column(1), words).view(np.uint8), axis=1, bitorder="little") if b.num_rows else np.zeros((0, BITS * words), np.uint8)
             values = fps[:, : bits * blocks].reshape(-1, blocks, bits).astype(np.int64) @ weigh
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), blocks)), pa.array((values + (np.arange(1, blocks + 1, dtype=np.int64) << 40)).ravel())], ["n", "key"])
+            some = _words(b.column(1), words)[:, 0].view(np.int64) if b.num_rows else np.zeros(0, np.int64)
+            columns = np.repeat(b.column(0).to_numpy(), blocks), (values + (np.arange(1, blocks + 1, dtype=np.int64) << 40)).ravel(), np.repeat(some, blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n", "key", "look"])
 
     def near(a, b):
         return np.bitwise_count((a ^ b) & whole).sum(axis=-1, dtype=np.int32) <= limit
@@ -230,24 +239,31 @@ def wide_links(nodes: DataFrame, shape: tuple[int, int, int], most: int = MOST,
                     out.append((int(left[i]), int(right[j])))
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
-    keyed = cut(nodes.select("n", "fp").mapInArrow(keys, "n long, key long"))
-    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("head")).filter("size > 1"))
-    met = cut(keyed.join(sizes, "key"))
-    few = met.filter(F.col("size") <= most).select("n", "key")
-    pairs = few.withColumnRenamed("n", "u").join(few.withColumnRenamed("n", "v"), "key").filter("u < v").select("u", "v").distinct().withColumn("key", F.lit(0).cast("long"))
-    stars = met.filter((F.col("size") > most) & (F.col("n") != F.col("head"))).select(F.col("head").alias("u"), F.col("n").alias("v"), "key")
+    keyed = cut(nodes.select("n", "fp").mapInArrow(keys, "n long, key long, look long"))
+    sizes = cut(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("n").alias("head")).filter(F.col("size") > most))
+    large = F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST else sizes
+    met = keyed.join(large, "key").filter(F.col("n") != F.col("head"))
+    agree = lambda x, y: F.bit_count(x.look.bitwiseXOR(y.look)) <= FIRST_LOOK
+    # No list is longer than `most`.
+    few = keyed.join(large, "key", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "look"))).alias("nodes")).filter(F.size("nodes") > 1)
+    few = few.select("key", F.col("nodes")[0].alias("a"), F.slice("nodes", 2, most).alias("nodes"))
+    stars = few.select(F.col("a.n").alias("u"), F.explode(F.filter("nodes", lambda x: agree(F.col("a"), x))).alias("b"), "key").select("u", F.col("b.n").alias("v"), "key")
+    far = few.select("nodes", F.explode(F.filter("nodes", lambda x: ~agree(F.col("a"), x))).alias("a"))
+    far = far.select(F.col("a.n").alias("u"), F.explode(F.filter("nodes", lambda x: (x.n != F.col("a.n")) & agree(F.col("a"), x))).alias("b"))
+    pairs = far.select(F.least("u", "b.n").alias("u"), F.greatest("u", "b.n").alias("v")).distinct().withColumn("key", F.lit(0).cast("long"))
+    stars = stars.unionByName(met.select(F.col("head").alias("u"), F.col("n").alias("v"), "key"))
     by = nodes.select("n", "fp")
     asked = pairs.unionByName(stars).join(by.withColumnsRenamed({"n": "u", "fp": "x"}), "u").join(by.withColumnsRenamed({"n": "v", "fp": "y"}), "v")
     told = cut(asked.select("u", "v", "key", "x", "y").mapInArrow(verify, "u long, v long, key long, near boolean"))
     links = told.filter("near").select("u", "v")
     rest = cut(told.filter((F.col("key") > 0) & ~F.col("near")).select(F.col("v").alias("n"), "key"))
     if rest.limit(1).count():
-        chunks = F.ceil(F.col("size") / chunk).cast("int")
-        buckets = rest.select("key").distinct().join(sizes.select("key", chunks.alias("chunks")), "key")
+        every = cut(keyed.join(rest.select("key").distinct(), "key").select("n", "key"))
+        buckets = every.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
         of = lambda df: df.join(buckets, "key").withColumn("at", F.pmod(F.xxhash64("n"), "chunks").cast("int"))
         others = F.sequence(F.lit(0), F.col("chunks") - 1)
         own = of(rest).withColumn("low", F.col("at")).withColumn("high", F.explode(others)).withColumn("own", F.lit(True))
-        every = of(met.select("n", "key")).withColumn("high", F.col("at")).withColumn("low", F.explode(others)).withColumn("own", F.lit(False))
+        every = of(every).withColumn("high", F.col("at")).withColumn("low", F.explode(others)).withColumn("own", F.lit(False))
         both = own.unionByName(every).join(by, "n").select("key", "low", "high", "own", "n", "fp")
         links = links.unionByName(both.groupBy("key", "low", "high").applyInArrow(forest, "u long, v long"))
     return links.distinct()
